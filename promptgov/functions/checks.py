@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptgov.functions import patterns as P
-from promptgov.functions.matching import VIOLATION, has_any, hit, match_offset, present, violation
-from promptgov.functions.text import estimate_tokens, fold, normalize
+from promptgov.functions.matching import (
+    VIOLATION,
+    hit,
+    match_offset,
+    pinned,
+    present,
+    violation,
+    with_needles,
+)
+from promptgov.functions.text import estimate_tokens, normalize
 
 NO_VIOLATIONS = f"CAST(array() AS array<{VIOLATION}>)"
 
+Has = Callable[[str], Column]
+
+
+def blocked_needles(text: str) -> tuple[str, ...]:
+    """The longest stretch of a deny-list entry that lower() maps like `(?i)` does:
+    ASCII without the letter s."""
+    stretch = max(re.split(r"[^\x00-\x7f]+|[sS]", text), key=len).lower()
+    return (stretch,) if stretch else ()
+
 
-def blocked_violations(norm: Column, low: Column, blocked_patterns) -> list[Column]:
+def blocked_violations(norm: Column, has: Has, blocked_patterns) -> list[Column]:
     """One nullable violation per deny-list entry, matched as a literal text."""
     out = []
     for text in blocked_patterns:
         java = "(?iu)" + P.quote_meta(text)
-        # lower() is not a reliable test beyond ASCII, so such entries go unguarded.
-        needles = (text.lower(),) if text and text.isascii() else ()
         found = violation(
             "blocked_pattern",
             "critical",
             f"{P.MSG_BLOCKED}(?i){P.quote_meta(text)}",
             match_offset(norm, java) if text else F.lit(0),
         )
-        out.append(F.when(hit(norm, low, java, needles), found) if text else found)
+        out.append(F.when(hit(norm, has, java, blocked_needles(text)), found) if text else found)
     return out
 
 
-def injection_violations(norm: Column, low: Column) -> list[Column]:
+def injection_violations(norm: Column, has: Has) -> list[Column]:
     """One nullable violation per injection pattern."""
     out = []
     for pattern, needles in zip(P.INJECTION_PATTERNS, P.INJECTION_NEEDLES):
@@ -37,42 +55,40 @@ def injection_violations(norm: Column, low: Column) -> list[Column]:
         found = violation(
             "prompt_injection", "critical", P.MSG_INJECTION, match_offset(norm, java)
         )
-        out.append(F.when(hit(norm, low, java, needles), found))
+        out.append(F.when(hit(norm, has, java, needles), found))
     return out
 
 
-def max_token_violation(norm: Column, max_prompt_tokens: int) -> list[Column]:
-    if max_prompt_tokens <= 0:
-        return []
+def max_token_violation(norm: Column, max_prompt_tokens: int) -> Column:
     found = violation("max_tokens", "warning", P.MSG_MAX_TOKENS, F.lit(-1))
-    return [F.when(estimate_tokens(norm) > max_prompt_tokens, found)]
+    return F.when(estimate_tokens(norm) > max_prompt_tokens, found)
+
+
+def needles_of(policy) -> list[str]:
+    needles = [n for text in policy.blocked_patterns for n in blocked_needles(text)]
+    if policy.prompt_injection_protection:
+        needles += [n for group in P.INJECTION_NEEDLES for n in group]
+    return needles
 
 
-def violations_of(norm: Column, low: Column, policy) -> Column:
+def violations_of(norm: Column, has: Has, policy) -> Column:
     """All violations of a normalised prompt; only checks the policy enables are built."""
-    parts = []
-    if policy.blocked_patterns:
-        parts.append(present(blocked_violations(norm, low, policy.blocked_patterns)))
+    candidates = blocked_violations(norm, has, policy.blocked_patterns)
     if policy.prompt_injection_protection:
-        needles = sorted({n for group in P.INJECTION_NEEDLES for n in group})
-        found = present(injection_violations(norm, low))
-        parts.append(F.when(has_any(low, needles), found).otherwise(F.expr(NO_VIOLATIONS)))
-    limit = max_token_violation(norm, policy.max_prompt_tokens)
-    if limit:
-        parts.append(present(limit))
-    if not parts:
+        candidates += injection_violations(norm, has)
+    if policy.max_prompt_tokens > 0:
+        candidates.append(max_token_violation(norm, policy.max_prompt_tokens))
+    if not candidates:
         return F.expr(NO_VIOLATIONS)
-    joined = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return joined.cast(f"array<{VIOLATION}>")
+    return present(candidates).cast(f"array<{VIOLATION}>")
 
 
 def check(df: DataFrame, policy, prompt: str = "prompt", into: str = "violations") -> DataFrame:
     """Normalise the prompt and add its violations; map-only."""
-    kept = df.columns
+    kept = [c for c in df.columns if c != into]
     staged = normalize(df, prompt, "__norm")
-    staged = staged.withColumn("__low", fold(F.col("__norm")))
-    found = violations_of(F.col("__norm"), F.col("__low"), policy).alias(into)
-    return staged.select(*[F.col(c) for c in kept if c != into], found)
+    flagged, has = with_needles(staged, "__norm", needles_of(policy))
+    return pinned(flagged, kept, violations_of(F.col("__norm"), has, policy), into)
 
 
 def is_clean(violations: Column) -> Column:

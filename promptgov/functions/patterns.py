@@ -94,36 +94,37 @@ MSG_DANGEROUS = "Model output contains potentially dangerous content: "
 
 # --------------------------------------------------------------------------
 # Literals without which a pattern cannot match, in lower case. Spark tests
-# them with `contains` before it decodes the text for a regex.
+# them with `contains` before it decodes the text for a regex. They avoid the
+# letter s, which `(?i)` also finds in U+017F while lower() leaves that as it is.
 # --------------------------------------------------------------------------
 
 INJECTION_NEEDLES = (
-    ("previous",),
-    ("above",),
-    ("disregard",),
-    ("forget",),
+    ("truction",),
+    ("truction",),
+    ("regard",),
+    ("truction",),
     ("now",),
-    ("instruction",),
+    ("truction",),
+    ("prompt",),
+    ("prompt",),
+    ("prompt",),
     ("prompt",),
-    ("reveal",),
-    ("print",),
-    ("show",),
     ("jailbreak",),
     ("anything",),
-    ("restrictions",),
+    ("triction",),
 )
 LEAKAGE_NEEDLES = (
-    ("instruction",),
-    ("told", "instructed", "programmed"),
+    ("truction",),
+    ("told", "tructed", "programmed"),
     ("initial",),
-    ("instruction",),
+    ("truction",),
 )
 DANGEROUS_NEEDLES = (
-    ("sudo", "chmod", "-rf"),
+    ("udo", "chmod", "-rf"),
     ("drop", "delete", "truncate"),
-    ("<script", "javascript:", "="),
+    ("cript", "="),
 )
-SECRET_NEEDLES = (("api",), ("secret", "passw", "pwd"), ("bearer",), ("ghp_",), ("sk-",), ("akia",))
+SECRET_NEEDLES = (("api",), ("ecret", "word", "wd"), ("bearer",), ("ghp_",), ("k-",), ("akia",))
 
 _WORD = "A-Za-z0-9_"
 _SPACE = r"\t\n\f\r "

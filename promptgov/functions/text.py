@@ -17,9 +17,14 @@ NFC_SUSPECT = (
     r"\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}"
     r"\x{FB1D}-\x{FB4F}\x{11000}-\x{16FFF}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]]"
 )
-
-
-# The one character beside s and S that `(?i)s` accepts and lower() keeps.
+# Control characters one by one: Java tests listed Latin-1 characters in one step, but
+# each range on its own. Tab, newline, form feed and return count as whitespace.
+_CONTROL = "".join(rf"\x{c:02X}" for c in (*range(9), 11, *range(14, 32), *range(127, 160)))
+# Each class starts with a test that ordinary characters fail at once.
+_ZERO_WIDTH_CLASS = f"[\\x{{AD}}-\\x{{FEFF}}&&[{ZERO_WIDTH}]]"
+_ODD = rf"[[^ -~]&&[{_CONTROL}{_ZERO_WIDTH_CLASS}{NFC_SUSPECT}]]"
+
+# `(?i)s` also matches this character, which lower() keeps.
 LONG_S = chr(0x17F)
 
 
@@ -28,11 +33,6 @@ def as_text(s: Column) -> Column:
     return F.coalesce(s, F.lit(""))
 
 
-def fold(s: Column) -> Column:
-    """Lower-case so that an ASCII literal matches exactly where `(?i)` lets it."""
-    return F.replace(F.lower(s), F.lit(LONG_S), F.lit("s"))
-
-
 def nfc(s: Column) -> Column:
     """Unicode NFC, by the ICU library that ships with Spark.
 
@@ -47,14 +47,23 @@ def nfc(s: Column) -> Column:
 
 
 def strip_zero_width(s: Column) -> Column:
-    return F.regexp_replace(s, f"[{ZERO_WIDTH}]", "")
+    return F.regexp_replace(s, _ZERO_WIDTH_CLASS, "")
 
 
 def collapse_whitespace(s: Column) -> Column:
     """Turn each ASCII whitespace run into one space, then trim Unicode spaces."""
-    # A single space is already right, so the pattern leaves it alone.
-    runs = F.regexp_replace(s, r"[\t\n\f\r ]{2,}|[\t\n\f\r]", " ")
-    return F.btrim(runs, F.lit(UNICODE_SPACE))
+    return F.btrim(_one_space(_spaces(s)), F.lit(UNICODE_SPACE))
+
+
+def _spaces(s: Column) -> Column:
+    """Other whitespace to spaces; the regex only for what is rare in prompts."""
+    rare = s.contains("\t") | s.contains("\r") | s.contains("\f")
+    return F.when(rare, F.regexp_replace(s, r"[\t\n\f\r]", " ")).otherwise(
+        F.replace(s, F.lit("\n"), F.lit(" ")))
+
+
+def _one_space(s: Column) -> Column:
+    return F.when(s.contains("  "), F.regexp_replace(s, "  +", " ")).otherwise(s)
 
 
 def decode_entities(s: Column) -> Column:
@@ -68,15 +77,28 @@ def decode_entities(s: Column) -> Column:
 
 def drop_control(s: Column) -> Column:
     spaced = F.regexp_replace(s, r"[\n\t\r]", " ")
-    return F.regexp_replace(spaced, r"[\x00-\x1F\x7F-\x9F]", "")
+    return F.regexp_replace(spaced, rf"[{_CONTROL}\f]", "")
 
 
 def normalize(df: DataFrame, text: str, into: str) -> DataFrame:
-    """All normalisation steps. Each step is a projection, so none runs twice."""
-    df = df.withColumn(into, nfc(as_text(F.col(text))))
-    df = df.withColumn(into, collapse_whitespace(strip_zero_width(F.col(into))))
-    df = df.withColumn(into, decode_entities(F.col(into)))
-    return df.withColumn(into, drop_control(F.col(into)))
+    """All normalisation steps. Each step is a projection, so none runs twice.
+
+    One scan tells whether a text has any character that NFC, the removal of zero-width
+    or that of control characters could touch; few texts do.
+    """
+    s = F.col(into)
+    odd = F.col("__odd")
+    return (
+        df.withColumn(into, as_text(F.col(text)))
+        .withColumn("__odd", s.rlike(_ODD))
+        .withColumn(into, F.when(odd, nfc(s)).otherwise(s))
+        .withColumn(into, F.when(odd, strip_zero_width(s)).otherwise(s))
+        .withColumn(into, _spaces(s))
+        .withColumn(into, F.btrim(_one_space(s), F.lit(UNICODE_SPACE)))
+        .withColumn(into, decode_entities(s))
+        .withColumn(into, F.when(odd, drop_control(s)).otherwise(s))
+        .drop("__odd")
+    )
 
 
 def estimate_tokens(s: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptgov.operators.clock import micros, time_chunk
+from promptgov.operators.clock import micros
+from promptgov.plans.lineage import in_chunks
 
 # Thresholds and reasons.
 Z_LIMIT = 3.0
@@ -56,19 +57,21 @@ def anomaly_columns(length: Column, count: Column, total: Column, squares: Colum
 
 def prompt_anomaly(
     prompts: DataFrame, min_samples: int, *, tenant: str = "tenant", ts: str = "ts",
-    order: str = "request_id", prompt: str = "prompt", chunk_seconds: int = 3600,
+    order: str = "request_id", prompt: str = "prompt",
 ) -> DataFrame:
     """One row per prompt with its verdict, over the tenant's prompts up to and with it.
 
-    The running sums are built in two levels: within each chunk of a tenant's time,
-    plus the totals of the chunks before. So no task sees a whole tenant, and only the
-    lengths are shuffled, once.
+    The running sums are built in two levels: the prompts in order of tenant and time are
+    cut into chunks of about equal size; the sums run within each chunk of a tenant, plus
+    the totals of the tenant's chunks before. So no task sees a whole large tenant, and
+    only the lengths are shuffled.
     """
     length = F.coalesce(F.octet_length(prompt), F.lit(0)).cast("long")
     sized = prompts.select(
         order, F.coalesce(tenant, F.lit("")).alias(tenant), micros(prompts, ts).alias("__us"),
         length.alias("__length"),
-    ).withColumn("__chunk", time_chunk(F.col("__us"), chunk_seconds))
+    )
+    sized = in_chunks(sized, [tenant, "__us", order], "lengths")
 
     in_chunk = Window.partitionBy(tenant, "__chunk").orderBy("__us", order)
     so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)

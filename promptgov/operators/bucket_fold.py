@@ -64,7 +64,8 @@ class _FillChunk:
     Refills depend on time alone: a row refills if a minute has passed since the
     last refill. Every row in the chunk's first minute may be the first to refill,
     depending on the refill before; each is followed as a path, and paths that meet
-    are joined. `upto[i]` is the latest earlier refill that starts path i.
+    are joined. `upto[i]` is the latest earlier refill that starts path i. No refill
+    before the chunk is later than `start`, the time of its first row.
     """
 
     def __init__(self, start):
@@ -114,16 +115,16 @@ class _FillChunk:
                 yield upto, end
 
 
-def fill_maps(chunk_us):
+def fill_maps(batches):
     """(tenant, chunk, us, kind), sorted -> the pieces of each chunk's refill function."""
 
-    def rows(batches):
+    def rows():
         key, state = None, None
         for tenant, chunk, us, kind in _rows(batches, "__tenant", "__chunk", "__us", "__kind"):
             if key != (tenant, chunk):
                 if state:
                     yield from ((*key, *piece) for piece in state.pieces())
-                key, state = (tenant, chunk), _FillChunk(chunk * chunk_us)
+                key, state = (tenant, chunk), _FillChunk(us)
             if kind == RESET:
                 state.reset()
             else:
@@ -131,7 +132,7 @@ def fill_maps(chunk_us):
         if state:
             yield from ((*key, *piece) for piece in state.pieces())
 
-    return lambda batches: _emit(rows(batches), FILL_MAP)
+    return _emit(rows(), FILL_MAP)
 
 
 FILL_ENTRY = pa.schema([

@@ -14,8 +14,3 @@ def micros(df: DataFrame, ts: str) -> Column:
         return F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
     return F.unix_micros(F.col(ts))
 
-
-def time_chunk(us: Column, seconds: int) -> Column:
-    """Number of the fixed-length stretch of time a row falls in."""
-    length = F.lit(seconds * 1_000_000)
-    return ((us - F.pmod(us, length)) / length).cast("long")

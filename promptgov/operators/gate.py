@@ -39,9 +39,8 @@ class Gate:
     rails; without the table no rails are consulted.
     """
 
-    def __init__(self, policy: Policy, chunk_seconds: int = 3600):
+    def __init__(self, policy: Policy):
         self.policy = policy
-        self.chunk_seconds = chunk_seconds
 
     def read(self, requests: DataFrame) -> DataFrame:
         """Parse the bodies: model, prompt, token estimate, and why a row goes unchecked."""
@@ -79,9 +78,8 @@ class Gate:
         """One row per request with outcome, action, reason, violations and error."""
         scored = self.score(requests)
         if self.policy.bucket_rate is not None:
-            scored = cut_lineage(scored, "scored")  # the bucket reads it three times
-        limited = rate_limit_gate(
-            scored, self.policy, checked=F.col("passed").isNull(), chunk_seconds=self.chunk_seconds)
+            scored = cut_lineage(scored, "scored")  # the bucket reads it twice
+        limited = rate_limit_gate(scored, self.policy, checked=F.col("passed").isNull())
         return self.judge(limited, verdicts)
 
     def judge(self, limited: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ the last refill (the fraction is lost), up to the capacity; it is allowed if it
 finds enough tokens, and a denied ask spends nothing. So asks of one tenant depend
 on each other, and no running sum gives the answer.
 
-Yet no tenant is handled by one task. Each tenant's asks are cut into chunks of
-time, and every step over the asks runs on all chunks in parallel:
+Yet no tenant is handled by one task. The asks in order of tenant and time are cut into
+chunks of about equal size, and every step over the asks runs on all chunks in parallel:
 
 1. Each chunk gives the last refill at its end as a function of the one before it.
 2. Per tenant, these small functions are applied in turn: the refill each chunk
@@ -17,7 +17,8 @@ time, and every step over the asks runs on all chunks in parallel:
 5. Each chunk decides its asks.
 
 The result is that of one pass over the asks in order. Steps 2 and 4 see a few rows
-per tenant and chunk, however many asks there are.
+per tenant and chunk, however many asks there are. The chunks are a written table, which
+steps 1, 3 and 5 read.
 """
 
 from __future__ import annotations
@@ -27,11 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptgov.operators import bucket_fold as fold
-from promptgov.operators.clock import micros, time_chunk
+from promptgov.operators.clock import micros
+from promptgov.plans.lineage import in_chunks, task_count
 
-_KEY = ["__tenant", "__chunk"]
 _TIME = ["__us", "__order"]
-_PIECE = ["__chunk", "__upto"]
 
 
 def token_bucket(
@@ -45,55 +45,59 @@ def token_bucket(
     tokens: str = "tokens",
     reset: Column | None = None,
     exempt: Column | None = None,
-    chunk_seconds: int = 3600,
 ) -> DataFrame:
     """Add `allowed` and `remaining` (tokens left after the row) to every row.
 
     Rows take effect in the order (`ts`, `order`). Where `reset` is true the row
     empties the tenant's history instead of asking. Where `exempt` is true the row is
-    allowed and touches no bucket; such rows are spread evenly over the tasks.
-    The input is used three times, so pass it narrow, or checkpointed if costly.
+    allowed and touches no bucket. The input is computed twice, to sample it and to cut
+    it into chunks, so pass a written table if it is costly.
     """
     if rate <= 0 or capacity < 0:
         raise ValueError("the rate must be positive and the capacity non-negative")
     keep = asks.columns
     exempt = F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)
     reset = F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False)
-    us = micros(asks, ts)
-    spread = -1 - F.pmod(F.xxhash64(order), F.lit(1 << 16))
     rows = asks.select(
         *keep,
         F.when(~exempt, F.coalesce(tenant, F.lit(""))).alias("__tenant"),
-        F.when(exempt, spread).otherwise(time_chunk(us, chunk_seconds)).alias("__chunk"),
-        us.alias("__us"),
+        micros(asks, ts).alias("__us"),
         F.col(order).alias("__order"),
         F.when(exempt, fold.EXEMPT).when(reset, fold.RESET).otherwise(fold.ASK).alias("__kind"),
         F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("__ask"),
     )
+    rows = in_chunks(rows, ["__tenant", *_TIME], "bucket")
     core = rows.filter(F.col("__kind") != fold.EXEMPT).select(
-        "__tenant", "__chunk", "__us", "__order", "__kind", "__ask")
+        "__tenant", "__chunk", *_TIME, "__kind", "__ask")
 
-    refills = _run(core, _KEY, _TIME, fold.fill_maps(chunk_seconds * 1_000_000),
-                   "__tenant string, __chunk long, __upto long, __fill long")
-    starts = _run(refills, _KEY[:1], _PIECE, fold.fill_entries,
-                  "__tenant string, __chunk long, __fill long")
+    refills = _by_chunk(core, fold.fill_maps,
+                        "__tenant string, __chunk long, __upto long, __fill long")
+    starts = _by_tenant(refills, fold.fill_entries,
+                        "__tenant string, __chunk long, __fill long")
 
-    balances = _run(_led_by(core, starts), _KEY, _TIME, fold.balance_maps(rate, capacity),
-                    "__tenant string, __chunk long, __fill long, __upto long, __balance long, "
-                    "__slope long")
-    starts = _run(balances, _KEY[:1], _PIECE, fold.balance_entries(capacity),
-                  "__tenant string, __chunk long, __fill long, __balance long")
+    balances = _by_chunk(_led_by(core, starts), fold.balance_maps(rate, capacity),
+                         "__tenant string, __chunk long, __fill long, __upto long, "
+                         "__balance long, __slope long")
+    starts = _by_tenant(balances, fold.balance_entries(capacity),
+                        "__tenant string, __chunk long, __fill long, __balance long")
 
     out = T.StructType(
         [T.StructField(f.name, f.dataType) for f in asks.schema]
         + [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType())]
     )
-    return _run(_led_by(rows, starts), _KEY, _TIME, fold.decide(rate, capacity, keep), out)
+    return _by_chunk(_led_by(rows, starts), fold.decide(rate, capacity, keep), out)
 
 
-def _run(df: DataFrame, key: list[str], order: list[str], function, schema) -> DataFrame:
-    """Rows of one key together and in order, in batches that never hold a whole key."""
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(function, schema)
+def _by_chunk(rows: DataFrame, function, schema) -> DataFrame:
+    """Each chunk as a whole and in order, in batches that never hold a whole chunk."""
+    placed = rows.repartition(task_count(rows.sparkSession), "__chunk")
+    return placed.sortWithinPartitions("__chunk", "__tenant", *_TIME).mapInArrow(function, schema)
+
+
+def _by_tenant(pieces: DataFrame, function, schema) -> DataFrame:
+    """The pieces of each tenant's chunks in order; a few per chunk."""
+    placed = pieces.repartition("__tenant")
+    return placed.sortWithinPartitions("__tenant", "__chunk", "__upto").mapInArrow(function, schema)
 
 
 def _led_by(rows: DataFrame, starts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from promptgov.functions import checks, output, pii, text
 from promptgov.operators import anomaly, policy_rules, ratelimit, stats, verdicts
 from promptgov.operators.gate import Gate, audit_events, block_response
 from promptgov.plans import workloads as W
-from promptgov.plans.session import work_dir
+from promptgov.plans.lineage import task_count, work_dir
 from promptgov.sources.audit import fan_out, parquet_sink, with_json
 from promptgov.sources.requests import parse_requests
 from promptgov.streaming.gate import stream_audit
@@ -22,8 +22,8 @@ from promptgov.streaming.stats import latest, stream_stats
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def on_prompts(column: Callable[[Column], Column], name: str) -> Query:
-    return lambda spark, sf: W.prompts(spark, sf).select(
+def on_prompts(column: Callable[[Column], Column], name: str, source=W.prompts) -> Query:
+    return lambda spark, sf: source(spark, sf).select(
         "request_id", column(F.col("prompt")).alias(name))
 
 
@@ -74,9 +74,7 @@ def redact_output(spark, sf):
 
 
 def is_output_clean(spark, sf):
-    low = text.fold(F.col("output"))
-    df = W.outputs(spark, sf).withColumn("low", low)
-    return df.select("kind", "id", output.is_output_clean(F.col("output"), F.col("low")).alias("is_clean"))
+    return output.output_clean(W.outputs(spark, sf)).select("kind", "id", "is_clean")
 
 
 def policy_tables(spark, sf):
@@ -91,13 +89,12 @@ def policy_tables(spark, sf):
 
 
 def tenant_labels(spark, sf):
-    return W.prompts(spark, sf).groupBy(text.tenant_label(F.col("tenant")).alias("tenant")).agg(
+    return W.sized_prompts(spark, sf).groupBy(text.tenant_label(F.col("tenant")).alias("tenant")).agg(
         F.count(F.lit(1)).alias("requests"))
 
 
 def bucket(spark, sf, reset: Column | None = None) -> DataFrame:
-    return ratelimit.token_bucket(W.asks(spark, sf), W.EVENT_RATE, W.EVENT_CAPACITY, reset=reset,
-                                  chunk_seconds=86_400)
+    return ratelimit.token_bucket(W.asks(spark, sf), W.EVENT_RATE, W.EVENT_CAPACITY, reset=reset)
 
 
 DECIDED = ("tenant", "request_id", "allowed", "remaining")
@@ -110,14 +107,14 @@ def bucket_remaining(spark, sf):
 
 
 def rate_limit_gate(spark, sf):
-    asks = W.prompts(spark, sf).select(
+    asks = W.sized_prompts(spark, sf).select(
         "request_id", "ts", "tenant", text.estimate_tokens(F.col("prompt")).alias("tokens"))
     decided = ratelimit.rate_limit_gate(asks, W.POLICY)
     return decided.select("request_id", "tenant", "allowed", "remaining")
 
 
 def verdict_join(spark, sf):
-    prompts = W.prompts(spark, sf).select("request_id")
+    prompts = W.sized_prompts(spark, sf).select("request_id")
     joined = verdicts.join_verdicts(prompts, W.verdicts(spark, sf))
     return joined.select("request_id", "reached", "rail_allowed",
                          F.when(F.col("reached"), F.size("rail_violations")).alias("rail_violations"))
@@ -129,7 +126,7 @@ def verdict_violations(spark, sf):
 
 
 def verdict_outage(spark, sf):
-    prompts = W.prompts(spark, sf).select("request_id", "tenant")
+    prompts = W.sized_prompts(spark, sf).select("request_id", "tenant")
     return verdicts.outages(prompts, W.verdicts(spark, sf), fail_closed=True)
 
 
@@ -163,8 +160,7 @@ def few_partitions(spark: SparkSession):
     """State is kept per shuffle partition, so a local run should not have hundreds."""
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(name, str(task_count(spark)))
     try:
         yield
     finally:
@@ -247,7 +243,7 @@ def queries() -> dict[str, Query]:
         "extract_prompt": lambda spark, sf: parse_requests(
             W.conversation_requests(spark, sf)).select(F.col("conv_id").alias("request_id"), "prompt"),
         "policy_tables": policy_tables,
-        "estimate_tokens": on_prompts(text.estimate_tokens, "tokens"),
+        "estimate_tokens": on_prompts(text.estimate_tokens, "tokens", W.sized_prompts),
         "tenant_label": tenant_labels,
         "count_words": on_prompts(text.count_words, "words"),
         "norm_nfc": on_prompts(text.nfc, "normalized"),
@@ -276,8 +272,8 @@ def queries() -> dict[str, Query]:
             spark, sf, reset=F.col("request_id") % 211 == 0).select(*DECIDED),
         "bucket_remaining": bucket_remaining,
         "rate_limit_gate": rate_limit_gate,
-        "prompt_anomaly": lambda spark, sf: anomaly.prompt_anomaly(W.prompts(spark, sf), W.MIN_SAMPLES),
-        "tenant_profile": lambda spark, sf: anomaly.tenant_profile(W.prompts(spark, sf)),
+        "prompt_anomaly": lambda spark, sf: anomaly.prompt_anomaly(W.sized_prompts(spark, sf), W.MIN_SAMPLES),
+        "tenant_profile": lambda spark, sf: anomaly.tenant_profile(W.sized_prompts(spark, sf)),
         "verdict_join": verdict_join,
         "verdict_violations": verdict_violations,
         "verdict_outage": verdict_outage,

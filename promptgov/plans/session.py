@@ -1,14 +1,9 @@
-"""Session settings that suit these jobs, and a folder for work in progress."""
+"""Session settings that suit these jobs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
-from promptgov.plans.lineage import shared_dir
-
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -29,15 +24,3 @@ def build_session(app: str = "promptgov", **settings: str) -> SparkSession:
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
-
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder for stream output and checkpoints, under the cluster's shared folder.
-
-    Only a local session may fall back to a folder of this machine.
-    """
-    folder = shared_dir(spark)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="promptgov-")
-    return f"{folder.rstrip('/')}/promptgov-{label}-{uuid.uuid4().hex}"

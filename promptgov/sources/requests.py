@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptgov.functions.matching import pinned
 from promptgov.functions.text import LONG_S
 
 MAX_BODY_BYTES = 10 * 1024 * 1024
@@ -74,12 +75,15 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
                            'content', {_text('p.content')})),
                  CAST(array() AS {MESSAGES}))""")
     checked = parsed.withColumn("valid", F.coalesce(ok, F.lit(False)))
-    return checked.select(
-        *kept,
+    request = F.struct(
         "valid",
         F.when(F.col("valid"), F.expr(_text("__model"))).alias("model"),
         F.when(F.col("valid"), messages).alias("messages"),
-    ).withColumn("prompt", prompt_of(F.col("messages")))
+    )
+    found = pinned(checked, kept, request, "__request")
+    return found.select(
+        *kept, "__request.valid", "__request.model", "__request.messages",
+        prompt_of(F.col("__request.messages")).alias("prompt"))
 
 
 def prompt_of(messages: Column) -> Column:
