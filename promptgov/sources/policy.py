@@ -95,7 +95,7 @@ class Policy:
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The policy as four small tables, with `ordinal` for the order in the file."""
-        budgets = [(i, b.tenant, b.monthly_limit_usd, b.alert_at_percent)
+        budgets = [(i, b.tenant, float(b.monthly_limit_usd), b.alert_at_percent)
                    for i, b in enumerate(self.budgets)]
         limits = [(i, r.tenant, r.tokens_per_minute, r.requests_per_minute)
                   for i, r in enumerate(self.rate_limits)]

@@ -20,6 +20,8 @@ from promptgov.operators.anomaly import anomaly_columns
 from promptgov.operators.bucket_fold import MINUTE, NEVER, step
 from promptgov.operators.clock import micros
 
+NO_BUCKET = -1  # what an exempt row has left; becomes NULL
+
 
 def _sorted(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A tenant's rows of this micro-batch, whose size the source's limits bound."""
@@ -65,8 +67,7 @@ def stream_token_bucket(
             return
         if key[0].startswith("-"):
             for pdf in pdfs:
-                yield pdf[keep].assign(
-                    allowed=True, remaining=pd.Series([None] * len(pdf), dtype="Int64", index=pdf.index))
+                yield pdf[keep].assign(allowed=True, remaining=NO_BUCKET)
             return
         fill, balance = state.get if state.exists else (NEVER, capacity)
         pdf = _sorted(pdfs)
@@ -85,8 +86,9 @@ def stream_token_bucket(
         yield pdf[keep].assign(allowed=allowed, remaining=remaining)
 
     timeout = GroupStateTimeout.EventTimeTimeout if evict_idle else GroupStateTimeout.NoTimeout
-    return rows.groupBy("__key").applyInPandasWithState(
+    decided = rows.groupBy("__key").applyInPandasWithState(
         fold, out, "fill long, balance long", "append", timeout)
+    return decided.withColumn("remaining", F.nullif("remaining", F.lit(NO_BUCKET)))
 
 
 def stream_prompt_anomaly(
