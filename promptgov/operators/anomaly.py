@@ -73,24 +73,25 @@ def prompt_anomaly(
     )
     sized = in_chunks(sized, [tenant, "__us", order], "lengths")
 
-    in_chunk = Window.partitionBy(tenant, "__chunk").orderBy("__us", order)
-    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = sized.select(
-        "*",
-        F.count(F.lit(1)).over(so_far).alias("__n"),
-        F.sum("__length").over(so_far).alias("__sum"),
-        F.sum(_square(F.col("__length"))).over(so_far).alias("__squares"),
-        F.lead(F.lit(False), 1, True).over(in_chunk).alias("__last"),
+    so_far = (
+        Window.partitionBy(tenant, "__chunk").orderBy("__us", order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    sums = {
+        "__n": F.count(F.lit(1)),
+        "__sum": F.sum("__length"),
+        "__squares": F.sum(_square(F.col("__length"))),
+    }
+    local = sized.select("*", *[total.over(so_far).alias(c) for c, total in sums.items()])
+    # A row per tenant and chunk; most tenants have one chunk.
+    totals = sized.groupBy(tenant, "__chunk").agg(*[total.alias(c) for c, total in sums.items()])
     before = (
         Window.partitionBy(tenant).orderBy("__chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # The last row of a chunk carries its totals, so the prompts are not read again.
-    carried = local.filter("__last").select(
+    carried = totals.select(
         tenant, "__chunk",
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before")
-          for c in ("__n", "__sum", "__squares")],
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums],
     )
     joined = local.join(carried, [tenant, "__chunk"])
     n, total, squares = (F.col(c) + F.col(f"{c}_before") for c in ("__n", "__sum", "__squares"))
