@@ -51,11 +51,10 @@ def injection_violations(norm: Column, has: Has) -> list[Column]:
     """One nullable violation per injection pattern."""
     out = []
     for pattern, needles in zip(P.INJECTION_PATTERNS, P.INJECTION_NEEDLES):
-        java = P.to_java(pattern)
         found = violation(
-            "prompt_injection", "critical", P.MSG_INJECTION, match_offset(norm, java)
+            "prompt_injection", "critical", P.MSG_INJECTION, match_offset(norm, P.to_java(pattern))
         )
-        out.append(F.when(hit(norm, has, java, needles), found))
+        out.append(F.when(hit(norm, has, P.java_test(pattern), needles), found))
     return out
 
 

@@ -29,7 +29,7 @@ def leaks_prompt(s: Column, has) -> Column:
 
 def dangerous_hits(s: Column, has) -> dict[str, Column]:
     return {
-        rule: hit(s, has, P.to_java(pattern), needles)
+        rule: hit(s, has, P.java_test(pattern), needles)
         for (rule, pattern), needles in zip(P.DANGEROUS_PATTERNS, P.DANGEROUS_NEEDLES)
     }
 
@@ -67,11 +67,12 @@ def output_clean(df: DataFrame, text: str = "output", into: str = "is_clean") ->
 
 
 def _scripts(s: Column) -> Column:
-    return F.regexp_replace(s, P.to_java(P.SCRIPT_BLOCK[0]), P.SCRIPT_BLOCK[1])
+    closed, rest = (F.regexp_extract(s, P.SCRIPT_PARTS, group) for group in (1, 2))
+    return F.concat(F.regexp_replace(closed, P.SCRIPT_FINDER, "$1" + P.SCRIPT_BLOCK[1]), rest)
 
 
 def _handlers(s: Column) -> Column:
-    return F.regexp_replace(s, P.to_java(P.EVENT_HANDLER[0]), P.EVENT_HANDLER[1])
+    return F.regexp_replace(s, P.HANDLER_FINDER, P.EVENT_HANDLER[1])
 
 
 def remove_scripts(s: Column) -> Column:
@@ -85,7 +86,7 @@ def remove_handlers(s: Column) -> Column:
 def sanitize_output(s: Column) -> Column:
     """Redact, then remove scripts, then event handlers.
 
-    The tests look at the input only: no step adds the characters the next one needs.
+    The tests look at the input only: no step adds what they look for.
     """
     scripts, handlers, redacted = s.contains("</"), s.contains("="), redact_pii(s)
     return (

@@ -17,8 +17,12 @@ def _replace(s: Column, rule: tuple[str, str]) -> Column:
     return F.regexp_replace(s, P.to_java(pattern), marker)
 
 
+def _emails(s: Column) -> Column:
+    return F.regexp_replace(s, P.EMAIL_FINDER, "$1" + P.PII_EMAIL[1])
+
+
 def redact_email(s: Column) -> Column:
-    return F.when(s.contains("@"), _replace(s, P.PII_EMAIL)).otherwise(s)
+    return F.when(s.contains("@"), _emails(s)).otherwise(s)
 
 
 def redact_phone(s: Column) -> Column:
@@ -47,8 +51,8 @@ def redact_pii(s: Column) -> Column:
     """
     email, numbers = s.contains("@"), s.rlike(_DIGITS)
     return (
-        F.when(email & numbers, _numbers(_replace(s, P.PII_EMAIL)))
-        .when(email, _replace(s, P.PII_EMAIL))
+        F.when(email & numbers, _numbers(_emails(s)))
+        .when(email, _emails(s))
         .when(numbers, _numbers(s))
         .otherwise(s)
     )
@@ -58,7 +62,7 @@ def contains_pii(s: Column) -> Column:
     """Whether redaction would leave a marker, including one already in the text."""
     return (
         s.contains(P.PII_MARKER)
-        | (s.contains("@") & s.rlike(P.to_java(P.PII_EMAIL[0])))
+        | (s.contains("@") & s.rlike(P.EMAIL_FINDER))
         | (s.rlike(_DIGITS) & s.rlike(P.any_of(p for p, _ in _NUMBERS)))
     )
 

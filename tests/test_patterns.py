@@ -1,14 +1,19 @@
 """The translation of each RE2 construct, against DuckDB's RE2."""
 
+import random
+import time
+
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from promptgov.functions import checks, output, pii
 from promptgov.functions import patterns as P
 from promptgov.functions.matching import match_offset
 from promptgov.plans.workloads import PLANT
+from promptgov.sources.policy import Policy
 
 ALL = [
     *P.INJECTION_PATTERNS,
@@ -36,7 +41,7 @@ TRICKY = [
 
 def java(spark, pattern, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
-    found = F.col("s").rlike(P.to_java(pattern))
+    found = F.col("s").rlike(P.java_test(pattern))
     at = F.when(found, match_offset(F.col("s"), P.to_java(pattern)))
     return [(r.f, r.at) for r in df.select("i", found.alias("f"), at.alias("at")).orderBy("i").collect()]
 
@@ -64,7 +69,7 @@ PIECES = st.sampled_from([
 @given(texts=st.lists(st.lists(PIECES, max_size=14).map("".join), min_size=40, max_size=40))
 def test_random_texts(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
-    columns = [F.col("s").rlike(P.to_java(p)).alias(f"c{n}") for n, p in enumerate(ALL)]
+    columns = [F.col("s").rlike(P.java_test(p)).alias(f"c{n}") for n, p in enumerate(ALL)]
     got = [tuple(r)[1:] for r in df.select("i", *columns).orderBy("i").collect()]
     want = list(zip(*[[m for m, _ in re2(p, texts)] for p in ALL]))
     assert got == want
@@ -84,3 +89,64 @@ def test_any_of_keeps_case_per_branch(column):
 
 def test_quote_meta():
     assert P.quote_meta("c++ (beta)? [a]{2} a.b|c^$\\") == r"c\+\+ \(beta\)\? \[a\]\{2\} a\.b\|c\^\$\\"
+
+
+REPLACED = {
+    "email": (pii.redact_email, *P.PII_EMAIL),
+    "scripts": (output.remove_scripts, *P.SCRIPT_BLOCK),
+    "handlers": (output.remove_handlers, *P.EVENT_HANDLER),
+}
+ALPHABETS = {
+    "email": [*"a@.-_|%+ \n9", "co", "\u00e9", "@b.cd", "x@y.zz"],
+    "scripts": ["<script", ">", "</script>", "</SCRIPT", "<\u017fcript x", " ", "a", "\n", "</\u017fcript>", "<"],
+    "handlers": ["on", "x", " ", "\t", "\n", "\x0b", "=", "'", '"', "ON\u017f", "\u212a", "_", " onx='", "y'"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(REPLACED))
+def test_linear_rewrites_replace_the_same(spark, name):
+    function, pattern, by = REPLACED[name]
+    rng = random.Random(name)
+    texts = ["".join(rng.choices(ALPHABETS[name], k=rng.randint(1, 14))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = [r.x for r in df.select("i", function(F.col("s")).alias("x")).orderBy("i").collect()]
+    want = [r[0] for r in duckdb.execute(
+        "SELECT regexp_replace(s, $p, $b, 'g') FROM (SELECT unnest($t) AS s)",
+        {"p": pattern, "b": by, "t": texts}).fetchall()]
+    assert sum(t != w for t, w in zip(texts, want)) > 100
+    assert [(t, g, w) for t, g, w in zip(texts, got, want) if g != w] == []
+
+
+@pytest.mark.parametrize("pattern", list(P._TESTS))
+def test_linear_rewrites_match_the_same(spark, pattern):
+    rng = random.Random(1)
+    alphabet = ALPHABETS["email"] if pattern == P.PII_EMAIL[0] else [
+        *"a_ \n=", "on", "x", "<script", "javascript:", "DAN", " DAN ", "jailbreak", " jailbrea\u212a ",
+        "\u017f", "\u00e9"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = [r.x for r in df.select("i", F.col("s").rlike(P.java_test(pattern)).alias("x")).orderBy("i").collect()]
+    assert got == [m for m, _ in re2(pattern, texts)] 
+    assert 50 < sum(got) < 5900
+
+
+def test_hostile_texts_take_linear_time(spark):
+    """Each of these took minutes to hours with the patterns as they stand."""
+    n = 1_000_000
+    texts = [
+        "a." * (n // 2) + "@", "@" + "a." * (n // 2) + "@", "a" * n + "@", "on" * (n // 2), "on" * (n // 2) + " =",
+        "<script>" * (n // 8) + "</", "</script>" + "<script>" * (n // 8), "<script " * (n // 8) + "</script>",
+        " " * n + "=", " on" * (n // 3) + "=", "DAN " * (n // 4) + "jailbreaks", " onx='" * (n // 6),
+        "DAN jailbreak " + "DAN " * (n // 4),
+        "111-" * (n // 4), "api_key " * (n // 8) + "=", "my " * (n // 3) + "instruction",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").repartition(4).cache()
+    df.count()
+    policy = Policy(prompt_injection_protection=True)
+    start = time.monotonic()
+    for out in (
+        df.select(output.sanitize_output(F.col("s")), pii.contains_pii(F.col("s")), output.mask_secrets(F.col("s"))),
+        output.scan(df, "s"), checks.check(df, policy, "s"),
+    ):
+        out.write.format("noop").mode("overwrite").save()
+    assert time.monotonic() - start < 60
