@@ -89,8 +89,8 @@ def token_bucket(
 
 
 def _by_chunk(rows: DataFrame, function, schema) -> DataFrame:
-    """Each chunk as a whole and in order, in batches that never hold a whole chunk."""
-    placed = rows.repartition(task_count(rows.sparkSession), "__chunk")
+    """One task per chunk, its rows in order, in batches that never hold a whole chunk."""
+    placed = rows.repartitionById(task_count(rows.sparkSession), F.col("__chunk").cast("int"))
     return placed.sortWithinPartitions("__chunk", "__tenant", *_TIME).mapInArrow(function, schema)
 
 
