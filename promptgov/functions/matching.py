@@ -33,7 +33,7 @@ def hit(s: Column, has: Callable[[str], Column], java_pattern: str, needles) ->
 
 def match_offset(s: Column, java_pattern: str) -> Column:
     """Byte offset of the leftmost match; call it only where there is one."""
-    return F.octet_length(F.regexp_extract(s, rf"\A([\s\S]*?)(?:{java_pattern})", 1))
+    return F.octet_length(F.regexp_extract(s, rf"\A((?s:.*?))(?:{java_pattern})", 1))
 
 
 def violation(rule: str, severity: str, message: str, position: Column | None = None) -> Column:

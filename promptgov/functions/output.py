@@ -71,12 +71,16 @@ def _scripts(s: Column) -> Column:
     return F.concat(F.regexp_replace(closed, P.SCRIPT_FINDER, "$1" + P.SCRIPT_BLOCK[1]), rest)
 
 
+def _has_scripts(s: Column) -> Column:
+    return s.contains("</") & s.rlike("(?iu)</script>")
+
+
 def _handlers(s: Column) -> Column:
     return F.regexp_replace(s, P.HANDLER_FINDER, P.EVENT_HANDLER[1])
 
 
 def remove_scripts(s: Column) -> Column:
-    return F.when(s.contains("</"), _scripts(s)).otherwise(s)
+    return F.when(_has_scripts(s), _scripts(s)).otherwise(s)
 
 
 def remove_handlers(s: Column) -> Column:
@@ -88,7 +92,7 @@ def sanitize_output(s: Column) -> Column:
 
     The tests look at the input only: no step adds what they look for.
     """
-    scripts, handlers, redacted = s.contains("</"), s.contains("="), redact_pii(s)
+    scripts, handlers, redacted = _has_scripts(s), s.contains("="), redact_pii(s)
     return (
         F.when(scripts & handlers, _handlers(_scripts(redacted)))
         .when(scripts, _scripts(redacted))

@@ -197,10 +197,12 @@ HANDLER_FINDER = (
     rf"(?iu)(?<![{_SPACE}])[{_SPACE}]++on{_FOLDED_WORD}++[{_SPACE}]*+=[{_SPACE}]*+[\"'][^\"']*+[\"']"
 )
 # Up to the last closing tag, and behind it: there no block can end.
-SCRIPT_PARTS = r"(?iu)\A([\s\S]*</script>)?([\s\S]*)\z"
+SCRIPT_PARTS = r"(?ius)\A(.*</script>)?(.*)\z"
 # A stretch ends with its first >, which all opening tags in it share. Group 1 is
 # what the stretch has in front of the first of them.
-SCRIPT_FINDER = r"(?iu)(?<![^>])((?>[^>]*?(?=<script)))<script[^>]*+>[\s\S]*?</script>"
+SCRIPT_FINDER = (
+    r"(?iu)(?<![^>])([^<>]*+(?:<(?!script)[^<>]*+)*+)<script[^>]*+>(?s:.*?)</script>"
+)
 # The first DAN of a line reaches every jailbreak that a later one reaches.
 JAILBREAK_TEST = (
     rf"(?iu)(?<![^\n])(?>[^\n]*?{_BOUNDARY}DAN{_BOUNDARY})[^\n]*{_BOUNDARY}jailbreak{_BOUNDARY}"

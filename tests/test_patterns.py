@@ -137,7 +137,7 @@ def test_hostile_texts_take_linear_time(spark):
         "a." * (n // 2) + "@", "@" + "a." * (n // 2) + "@", "a" * n + "@", "on" * (n // 2), "on" * (n // 2) + " =",
         "<script>" * (n // 8) + "</", "</script>" + "<script>" * (n // 8), "<script " * (n // 8) + "</script>",
         " " * n + "=", " on" * (n // 3) + "=", "DAN " * (n // 4) + "jailbreaks", " onx='" * (n // 6),
-        "DAN jailbreak " + "DAN " * (n // 4),
+        "DAN jailbreak " + "DAN " * (n // 4), "<" * n + "</script>", "<a " * (n // 3) + "</script><b",
         "111-" * (n // 4), "api_key " * (n // 8) + "=", "my " * (n // 3) + "instruction",
     ]
     df = spark.createDataFrame([(t,) for t in texts], "s string").repartition(4).cache()
