@@ -16,11 +16,12 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptgov.llm.common import map_rows
+from promptgov.llm.common import as_bytes, map_rows
 
 #: Words keep digits, lower-case letters and everything beyond ASCII; A-Z become lower case.
 WORD_BYTES = bytes(
@@ -179,10 +180,6 @@ def decontaminate(
     names, schema = documents.columns, documents.schema
 
     def keep(batches):
-        import pyarrow as pa
-
-        from promptgov.llm.common import as_bytes
-
         matcher = Matcher(sent.value)
         for batch in batches:
             clean = pa.array([not matcher.search(words_of(t))[0] for t in as_bytes(batch, text_col)], pa.bool_())

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptgov.llm import decontaminate, pack, quality, secrets, simhash, substring_dedup, suffix_dedup
+from promptgov.llm import (
+    decontaminate, html_text, line_dedup, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +18,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(read(spark, sf_dir, "documents"), length=400, keep="none").drop("spans")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_join(read(spark, sf_dir, "documents"), edits=2, least=40)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(read(spark, sf_dir, "documents"), length=20).drop("spans")
 
@@ -51,7 +65,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_main_text": op1,
         "op2_suffix_array_dedup": op2,
+        "op3_warc": op3,
+        "op4_line_dedup": op4,
         "op5_substring_dedup": op5,
         "op6_best_fit_packing": op6,
         "op7_quality_cascade": op7,
