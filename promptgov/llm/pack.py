@@ -165,7 +165,8 @@ def best_fit(counts: dict[int, int], capacity: Capacity = Capacity(), score: str
 def pack(rows: DataFrame, capacity: Capacity = Capacity(), score: str = "norm", *order: str) -> DataFrame:
     """Add sequence_id and offset to pieces; `order` fixes which piece of a length goes where."""
     spark = rows.sparkSession
-    ranged = rows.repartitionByRange(task_count(spark), "length", *order)
+    # Range partitioning looks at its input twice; without a table, texts would be tokenised twice.
+    ranged = cut_lineage(rows, "unplaced").repartitionByRange(task_count(spark), "length", *order)
     rows = cut_lineage(ranged.withColumn("__part", F.spark_partition_id()), "pieces")
     # One row per partition and length: at most as many per partition as a sequence has tokens.
     counted = rows.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("n"))
