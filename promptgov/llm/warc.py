@@ -30,6 +30,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ def write_warc(
     # Payloads cross the network compressed.
     full = rows.select("id", digest(F.col("payload")).alias("digest"), F.lit(1).alias("part"),
                        F.lit(None).cast("long").alias("keeper"), "url", "payload")
-    full = full.mapInArrow(_deflated, full.schema)
+    full = full.mapInArrow(_packed, full.schema)
     shard = F.lit(0)
     if cuts:
         edges = F.array(*[F.lit(c).cast("long") for c in cuts])
@@ -150,6 +151,7 @@ def write_warc(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, keeper, of, first, done = None, None, None, True, []
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             columns = [batch.column(c) for c in ("shard", "id", "digest", "part", "keeper", "url", "payload")]
             for i in range(batch.num_rows):
@@ -166,7 +168,7 @@ def write_warc(
                     keeper, of, first = page_id, (page_id, found), True
                 kind = "response" if keeper == page_id and first else "revisit"
                 first = False
-                out.add(member(kind, page_id, url, found, keeper, zlib.decompress(data)))
+                out.add(member(kind, page_id, url, found, keeper, unpack(data)))
         if out is not None:
             out.close()
             done += out.done
@@ -180,10 +182,11 @@ def write_warc(
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def _deflated(batches):
+def _packed(batches):
+    compress = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         i = batch.schema.get_field_index("payload")
-        small = [zlib.compress(p, 6) for p in batch.column(i).to_pylist()]
+        small = [compress(p) for p in batch.column(i).to_pylist()]
         yield batch.set_column(i, "payload", pa.array(small, pa.binary()))
 
 
