@@ -350,7 +350,9 @@ def _compare_as_rows(surrounded: DataFrame, spec: Spec) -> DataFrame:
 def repeated_windows(texts: DataFrame, spec: Spec, hot: int = HOT) -> DataFrame:
     """(id, h, first, last): starts of repeated windows, as intervals, for texts of `sources()`."""
     every = cut_lineage(_find_runs(texts, spec), "runs")
+    # A table of its own: Spark splits a skewed join only where no aggregate shares its stage.
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = cut_lineage(shared, "shared-keys")
     some = cut_lineage(every.join(shared, "key", "left_semi"), "shared-runs")
     # What lies around a run holds its anchor, so it names the class; the tables of shared runs
     # lie by anchor, so most copies meet before this shuffle.
