@@ -36,15 +36,20 @@ from promptgov.llm.common import as_bytes, cut_lineage, pa_type
 #: Classes of one anchor that a task compares at once; more are compared as rows.
 HOT = 2048
 #: Windows of one text handled at once, and the place numbers that fit beside a hash.
-STRETCH, PLACES = 1 << 18, 20
+STRETCH, PLACES = 1 << 16, 20
 #: Symbols of several anchors' classes that are sorted together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 17
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def give_back() -> None:
+    """Workers live on after a task; return what a batch needed to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
     x = x ^ (x >> U(33))
@@ -159,6 +164,8 @@ def _find_runs(texts: DataFrame, spec: Spec) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(row)), batch.column("h").take(pa.array(row)),
                  *[pa.array(c.astype(np.int64)) for c in columns]], names=["id", "h", *RUN])
+            del found, columns, row
+            give_back()
 
     return texts.mapInArrow(find, schema)
 
@@ -173,6 +180,7 @@ def packed(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("h"),
                  pa.array([compress(t) for t in as_bytes(batch, "text")], pa.binary())], names=["id", "h", "packed"])
+            give_back()
 
     return texts.mapInArrow(pack, schema)
 
@@ -216,6 +224,8 @@ def _with_surroundings(texts: DataFrame, wanted: DataFrame, spec: Spec) -> DataF
                     yield rows_of(batch, rows, out)
                     rows, out = [], []
             yield rows_of(batch, rows, out)
+            del rows, out
+            give_back()
 
     return met.mapInArrow(cut, schema)
 
@@ -270,12 +280,13 @@ def _compare(surrounded: DataFrame, spec: Spec) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            if held.get_total_buffer_size() < 4 << 20:
+            if held.get_total_buffer_size() < 1 << 20:
                 continue
             keys = held.column("key").to_numpy()
             cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
             yield from answer(held.slice(0, cut))
             held = held.slice(cut).combine_chunks()
+            give_back()
         if held is not None:
             yield from answer(held)
 
@@ -405,6 +416,8 @@ def with_spans(texts: DataFrame, windows: DataFrame, fields: list[T.StructField]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
                 names=[id_col, *[f.name for f in fields]])
+            del rows, columns
+            give_back()
 
     id_field = T.StructField(id_col, texts.schema["id"].dataType)
     return met.mapInArrow(run, T.StructType([id_field, *fields]))
