@@ -40,6 +40,7 @@ from promptgov.plans.lineage import task_count
 #: Compressed bytes after which a file is closed, raw bytes in a shard, ids that place the cuts.
 ROLL_BYTES, SHARD_BYTES, CUT_IDS = 32 << 20, 256 << 20, 20_000
 DATE = "1970-01-01T00:00:00Z"
+SLICE = 1 << 13
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MANIFEST = "file string, records long, bytes long, sha256 string"
 READ = ("record_type string, page_id string, refers_to string, payload_digest string, payload_bytes long, "
@@ -194,9 +195,13 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive, one gzip member at a time."""
     view, at = memoryview(data), 0
     while at < len(view):
-        unzip = zlib.decompressobj(wbits=31)
-        record = unzip.decompress(view[at:])
-        at = len(view) - len(unzip.unused_data)
+        # What a member leaves of its last slice is copied, so slices are small.
+        unzip, parts = zlib.decompressobj(wbits=31), []
+        while not unzip.eof and at < len(view):
+            parts.append(unzip.decompress(view[at:at + SLICE]))
+            at += min(SLICE, len(view) - at)
+        at -= len(unzip.unused_data)
+        record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, rest[:int(fields["Content-Length"])]
