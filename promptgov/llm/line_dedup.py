@@ -29,52 +29,61 @@ from pyspark.sql import functions as F
 from promptgov.llm.common import cut_lineage
 
 EDITS, LEAST = 2, 40
+#: Letters whose counts are compared before texts are; any would do.
+LETTERS = "etaonihrsdlu"
+#: So many hashes of lines may be sent to every executor (16 MB); more are joined by a shuffle.
+SENT_LINES = 1_000_000
 
 
 def lines_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, no, line, a, b): the lines of at least `least` code points, with two hashes of each."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    return rows.filter(F.length("line") >= least).withColumns({"a": F.xxhash64("line"), "b": F.hash("line")})
+    rows = rows.withColumn("size", F.length("line")).filter(F.col("size") >= least)
+    return rows.withColumns({"a": F.xxhash64("line"), "b": F.hash("line")})
 
 
-def segment(i: int, parts: int, size: Column) -> tuple[Column, Column]:
-    """Start and length of part i of `size` characters; the last parts take what is left over."""
-    base, rest = F.floor(size / parts), size % parts
-    extra = lambda k: F.greatest(F.lit(0), F.lit(k) - (parts - rest))
-    start = i * base + extra(i)
+def segment(i: int, parts: int, shorter: int) -> tuple[Column, Column]:
+    """Start and length of part i of `size - shorter` characters; the last parts take what is left over."""
+    base, rest = F.expr(f"int((size - {shorter}) div {parts})"), F.expr(f"(size - {shorter}) % {parts}")
+    extra = lambda k: F.greatest(F.lit(0), F.lit(k - parts) + rest)
+    start = base * i + extra(i)
     return start, base + extra(i + 1) - extra(i)
 
 
-def signature(line: Column, size: Column, i: int, start: Column, length: Column) -> Column:
-    return F.xxhash64(size, F.lit(i), F.substring(line, (start + 1).cast("int"), length.cast("int")))
+def signature(shorter: int, i: int, start: Column, length: Column) -> Column:
+    return F.xxhash64(F.col("size") - shorter, F.lit(i), F.substring("line", start + 1, length))
 
 
-def index_keys(line: Column, edits: int) -> Column:
-    size = F.length(line)
-    parts = [(i, *segment(i, edits + 1, size)) for i in range(edits + 1)]
-    return F.array(*[signature(line, size, i, start, length) for i, start, length in parts])
+def index_keys(edits: int) -> Column:
+    parts = [(i, *segment(i, edits + 1, 0)) for i in range(edits + 1)]
+    return F.array(*[signature(0, i, start, length) for i, start, length in parts])
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(edits: int) -> Column:
     """Substrings that may be segment i of a line `shorter` characters shorter.
 
     Left of segment i there can be at most i edits, right of it at most edits - i, or an
     earlier segment survives; this bounds its shift on both sides.
     """
-    own, keys = F.length(line), []
+    keys = []
     for shorter in range(edits + 1):
-        size = own - shorter
         for i in range(edits + 1):
-            start, length = segment(i, edits + 1, size)
+            start, length = segment(i, edits + 1, shorter)
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                key = signature(line, size, i, at, length)
-                keys.append(F.when((at >= 0) & (at + length <= own), key))
+                key = signature(shorter, i, at, length)
+                keys.append(F.when((at >= 0) & (at + length <= F.col("size")), key))
     return F.array_compact(F.array(*keys))
 
 
+def parities(line: Column) -> Column:
+    """One bit for each of LETTERS: whether the line has an odd number of it. An edit turns at most two."""
+    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 2
+    return sum((odd(c) * (1 << i) for i, c in enumerate(LETTERS[1:], 1)), odd(LETTERS[0]))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -132,27 +141,32 @@ def band_distance(x: Column, y: Column, edits: int) -> Column:
 def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """One row per different line: copies, first place, index and probe keys."""
     place = F.struct("id", "no")
-    keyed = lines.select("a", "b", place.alias("place"), index_keys(F.col("line"), edits).alias("index"),
-                         probe_keys(F.col("line"), edits).alias("probes"))
+    keyed = lines.select("a", "b", place.alias("place"), parities(F.col("line")).alias("odd"),
+                         index_keys(edits).alias("index"), probe_keys(edits).alias("probes"))
     return keyed.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"),
+        F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"), F.first("odd").alias("odd"),
         F.first("index").alias("index"), F.first("probes").alias("probes"))
 
 
 def line_links(lines: DataFrame, classes: DataFrame, edits: int = EDITS) -> DataFrame:
     """(u, v): hashes of different lines within the distance, each pair once in each direction."""
-    index = classes.select(F.col("a").alias("u"), F.explode("index").alias("key"))
-    probes = classes.select(F.col("a").alias("v"), F.explode("probes").alias("key"))
-    met = index.join(probes, "key").filter("u <> v").select(
+    index = classes.select(F.col("a").alias("u"), F.col("odd").alias("x"), F.explode("index").alias("key"))
+    probes = classes.select(F.col("a").alias("v"), F.col("odd").alias("y"), F.explode("probes").alias("key"))
+    alike = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2 * edits
+    met = index.join(probes, (index["key"] == probes["key"]) & (F.col("u") != F.col("v")) & alike).select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     met = cut_lineage(met, "line-pairs")
     # The few lines that met somebody are read again for their texts.
     needed = cut_lineage(met.select(F.col("u").alias("a")).unionByName(
         met.select(F.col("v").alias("a"))).distinct(), "met-lines")
+    if needed.count() <= SENT_LINES:
+        needed = F.broadcast(needed)
     texts = cut_lineage(lines.select("a", "line").join(needed, "a", "left_semi").dropDuplicates(["a"]), "met-texts")
     pairs = met.join(texts.select(F.col("a").alias("u"), F.col("line").alias("x")), "u").join(
         texts.select(F.col("a").alias("v"), F.col("line").alias("y")), "v")
-    near = pairs.filter(band_distance(F.col("x"), F.col("y"), edits) <= edits).select("u", "v")
+    # The built-in banded distance is quick to discard; the bit-parallel one decides.
+    near = pairs.filter(F.when(F.levenshtein("x", "y", edits) < 0, False).otherwise(
+        band_distance(F.col("x"), F.col("y"), edits) <= edits)).select("u", "v")
     near = cut_lineage(near, "line-links")
     return near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -173,7 +187,7 @@ def line_join(
         F.count(F.lit(1)).alias("n_links"), F.min("other").alias("other"))
     known = classes.select("a", "b", "first").join(linked, F.col("a") == F.col("u"), "left").select(
         "a", "b", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("first", "other").alias("earliest"))
-    return lines.drop("line").join(known, ["a", "b"]).select(
+    return lines.drop("line", "size").join(known, ["a", "b"]).select(
         F.col("id").alias(id_col), F.col("no").alias("line_no"), F.col("first.id").alias("class_doc_id"),
         F.col("first.no").alias("class_line_no"), "n_links", (F.struct("id", "no") > F.col("earliest")).alias("removed"))
 
