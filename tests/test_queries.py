@@ -7,8 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import DATA
+from promptgov.plans.oracles import oracles
+from promptgov.plans.queries import queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = queries(), oracles()
 TABLES = [f[:-8] for f in sorted(os.listdir(DATA)) if f.endswith(".parquet")]
 
 
@@ -26,6 +28,7 @@ def rows(names, data):
 
 
 def test_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"audit_fanout"}  # sinks: compared in test_streaming
 
