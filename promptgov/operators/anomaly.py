@@ -102,9 +102,9 @@ def prompt_anomaly(
 
 
 def tenant_profile(prompts: DataFrame, *, tenant: str = "tenant", prompt: str = "prompt") -> DataFrame:
-    """Count, mean and deviation of the prompt lengths per tenant."""
+    """Count, mean and deviation of the prompt lengths per tenant; a null tenant is the empty one."""
     length = F.coalesce(F.octet_length(prompt), F.lit(0)).cast("long")
-    sums = prompts.groupBy(tenant).agg(
+    sums = prompts.groupBy(F.coalesce(tenant, F.lit("")).alias(tenant)).agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(length).alias("__sum"),
         F.sum(_square(length)).alias("__squares"),

@@ -83,14 +83,20 @@ class Gate:
         return self.judge(limited, verdicts)
 
     def judge(self, limited: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-        """The cascade over rows that carry all flags; the first hit decides."""
-        if verdicts is not None:
+        """The cascade over rows that carry all flags; the first hit decides.
+
+        Rails are asked exactly if the policy names an endpoint; without a table of verdicts
+        they then count as unreached for every request.
+        """
+        asked = bool(self.policy.guardrails_endpoint)
+        if asked and verdicts is not None:
             limited = join_verdicts(limited, verdicts)
             unreachable = ~F.col("reached") & F.lit(self.policy.guardrails_fail_closed)
             refused = F.coalesce(F.size("rail_violations"), F.lit(0)) > 0
             rails = F.col("rail_violations")
         else:
-            unreachable, refused, rails = F.lit(False), F.lit(False), F.expr(NO_VIOLATIONS)
+            unreachable = F.lit(asked and self.policy.guardrails_fail_closed)
+            refused, rails = F.lit(False), F.expr(NO_VIOLATIONS)
         outcome = (
             F.when(F.col("passed").isNotNull(), F.col("passed"))
             .when(~F.col("allowed"), "rate_limited")

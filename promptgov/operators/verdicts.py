@@ -50,14 +50,16 @@ def verdict_violations(allowed: Column, reasons: Column) -> Column:
 def join_verdicts(requests: DataFrame, verdicts: DataFrame, key: str = "request_id") -> DataFrame:
     """Left join that adds `reached`, `rail_allowed` and `rail_violations`.
 
+    Of several verdicts for one request a refusal wins; of several refusals the one whose
+    violations sort last, so that the outcome does not depend on the order of rows.
+
     No broadcast hint: verdicts grow with the requests, so Spark picks the join by size.
     """
-    side = verdicts.select(
-        key,
-        F.lit(True).alias("__found"),
-        F.coalesce("allowed", F.lit(False)).alias("rail_allowed"),
-        verdict_violations(F.coalesce("allowed", F.lit(False)), F.col("reasons")).alias("rail_violations"),
-    )
+    allowed = F.coalesce("allowed", F.lit(False))
+    one = F.struct((~allowed).alias("refused"), verdict_violations(allowed, F.col("reasons")).alias("violations"))
+    side = verdicts.groupBy(key).agg(F.max(one).alias("__verdict")).select(
+        key, F.lit(True).alias("__found"), (~F.col("__verdict.refused")).alias("rail_allowed"),
+        F.col("__verdict.violations").alias("rail_violations"))
     joined = requests.join(side, key, "left")
     return joined.withColumn("reached", F.col("__found").isNotNull()).drop("__found")
 

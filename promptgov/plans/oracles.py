@@ -357,7 +357,7 @@ POLICIES = """budgets AS (
     SELECT c_nationkey AS policy_id, c_custkey AS ordinal,
            CASE WHEN c_custkey % 41 = 0 THEN '' ELSE c_name END AS tenant,
            c_acctbal + 900 AS monthly_limit_usd, (c_custkey % 104)::INTEGER AS alert_at_percent
-    FROM customer WHERE c_nationkey % 3 <> 0),
+    FROM customer),
 limits AS (
     SELECT s_nationkey AS policy_id, s_suppkey AS ordinal, s_name AS tenant,
            floor(s_acctbal)::INTEGER AS tokens_per_minute FROM supplier),
