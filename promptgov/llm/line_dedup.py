@@ -30,7 +30,7 @@ from promptgov.llm.common import cut_lineage
 
 EDITS, LEAST = 2, 40
 #: Letters whose counts are compared before texts are; any would do.
-LETTERS = "etaonihrsdlu"
+LETTERS = "etaonihrsdlucmgpbf"
 #: So many hashes of lines may be sent to every executor (16 MB); more are joined by a shuffle.
 SENT_LINES = 1_000_000
 
