@@ -30,7 +30,7 @@ from promptgov.llm.common import cut_lineage
 
 EDITS, LEAST = 2, 40
 #: Letters whose counts are compared before texts are; any would do.
-LETTERS = "etaonihrsdlucmgpbf"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: So many hashes of lines may be sent to every executor (16 MB); more are joined by a shuffle.
 SENT_LINES = 1_000_000
 
@@ -84,6 +84,11 @@ def parities(line: Column) -> Column:
     return sum((odd(c) * (1 << i) for i, c in enumerate(LETTERS[1:], 1)), odd(LETTERS[0]))
 
 
+def sketch(line: Column, edits: int) -> Column:
+    """The parities, and above them the length modulo edits + 1, which tells equal lengths among near ones."""
+    return parities(line) + F.shiftleft((F.length(line) % (edits + 1)).cast("long"), len(LETTERS))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -141,19 +146,22 @@ def band_distance(x: Column, y: Column, edits: int) -> Column:
 def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """One row per different line: copies, first place, index and probe keys."""
     place = F.struct("id", "no")
-    keyed = lines.select("a", "b", place.alias("place"), parities(F.col("line")).alias("odd"),
+    keyed = lines.select("a", "b", place.alias("place"), sketch(F.col("line"), edits).alias("sketch"),
                          index_keys(edits).alias("index"), probe_keys(edits).alias("probes"))
     return keyed.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"), F.first("odd").alias("odd"),
+        F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"), F.first("sketch").alias("sketch"),
         F.first("index").alias("index"), F.first("probes").alias("probes"))
 
 
 def line_links(lines: DataFrame, classes: DataFrame, edits: int = EDITS) -> DataFrame:
     """(u, v): hashes of different lines within the distance, each pair once in each direction."""
-    index = classes.select(F.col("a").alias("u"), F.col("odd").alias("x"), F.explode("index").alias("key"))
-    probes = classes.select(F.col("a").alias("v"), F.col("odd").alias("y"), F.explode("probes").alias("key"))
-    alike = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2 * edits
-    met = index.join(probes, (index["key"] == probes["key"]) & (F.col("u") != F.col("v")) & alike).select(
+    index = classes.select(F.col("a").alias("u"), F.col("sketch").alias("x"), F.explode("index").alias("key"))
+    probes = classes.select(F.col("a").alias("v"), F.col("sketch").alias("y"), F.explode("probes").alias("key"))
+    differ, letters = F.col("x").bitwiseXOR(F.col("y")), (1 << len(LETTERS)) - 1
+    alike = F.bit_count(differ.bitwiseAND(F.lit(letters))) <= 2 * edits
+    # Lines of equal length find each other both ways, others only from the longer one.
+    once = (F.col("u") < F.col("v")) | (differ > letters)
+    met = index.join(probes, (index["key"] == probes["key"]) & (F.col("u") != F.col("v")) & once & alike).select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     met = cut_lineage(met, "line-pairs")
     # The few lines that met somebody are read again for their texts.
