@@ -50,18 +50,19 @@ def token_bucket(
 
     Rows take effect in the order (`ts`, `order`). Where `reset` is true the row
     empties the tenant's history instead of asking. Where `exempt` is true the row is
-    allowed and touches no bucket. The input is computed twice, to sample it and to cut
+    allowed and touches no bucket; a row without a time has no place in the order and is
+    exempt too. The input is computed twice, to sample it and to cut
     it into chunks, so pass a written table if it is costly.
     """
     if rate <= 0 or capacity < 0:
         raise ValueError("the rate must be positive and the capacity non-negative")
     keep = asks.columns
-    exempt = F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)
+    exempt = (F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)) | F.col(ts).isNull()
     reset = F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False)
     rows = asks.select(
         *keep,
         F.when(~exempt, F.coalesce(tenant, F.lit(""))).alias("__tenant"),
-        micros(asks, ts).alias("__us"),
+        F.coalesce(micros(asks, ts), F.lit(fold.NEVER)).alias("__us"),
         F.col(order).alias("__order"),
         F.when(exempt, fold.EXEMPT).when(reset, fold.RESET).otherwise(fold.ASK).alias("__kind"),
         F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("__ask"),

@@ -39,14 +39,14 @@ def stream_token_bucket(
 ) -> DataFrame:
     """Add `allowed` and `remaining` to a stream of asks.
 
-    A row older than the last refill gets none but may spend. Exempt rows keep no state
-    and are spread over the tasks.
+    A row older than the last refill gets none but may spend. Exempt rows, and rows without
+    a time, keep no state and are spread over the tasks.
 
     With `evict_idle` the stream needs a watermark on `ts`; a tenant's state is dropped
     once the watermark shows that its bucket has filled up again. That changes no result
     for rows within the watermark.
     """
-    exempt = F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)
+    exempt = (F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)) | F.col(ts).isNull()
     rows = asks.select(
         "*",
         exempt.alias("__exempt"),

@@ -142,3 +142,11 @@ def test_policy_wiring(spark):
 def test_bad_settings(spark):
     with pytest.raises(ValueError):
         token_bucket(asks(spark, [("a", 0, 1)]), 0, 10)
+
+
+def test_rows_without_a_time_are_exempt(spark):
+    rows = asks(spark, [("a", 0, 60), ("a", 1, 60), ("a", 2, 60), ("b", 3, 10)])
+    untimed = F.col("request_id").isin(1, 3)
+    rows = rows.withColumn("ts", F.when(~untimed, F.col("ts")))
+    out = token_bucket(rows, 10, 100).orderBy("request_id").collect()
+    assert [(r.allowed, r.remaining) for r in out] == [(True, 40), (True, None), (False, 40), (True, None)]
