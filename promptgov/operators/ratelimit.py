@@ -16,8 +16,9 @@ chunks of about equal size, and every step over the asks runs on all chunks in p
 4. Per tenant, these are applied in turn: the balance each chunk starts from.
 5. Each chunk decides its asks.
 
-The result is that of one pass over the asks in order. Steps 2 and 4 see a few rows
-per tenant and chunk, however many asks there are. The chunks are a written table, which
+The result is that of one pass over the asks in order. Steps 2 and 4 see the pieces of
+a tenant's chunk functions: few where a chunk spans many minutes, up to one per ask where it
+is shorter than a minute. The chunks are a written table, which
 steps 1, 3 and 5 read.
 """
 
@@ -96,7 +97,7 @@ def _by_chunk(rows: DataFrame, function, schema) -> DataFrame:
 
 
 def _by_tenant(pieces: DataFrame, function, schema) -> DataFrame:
-    """The pieces of each tenant's chunks in order; a few per chunk."""
+    """The pieces of each tenant's chunks in order, a tenant in one task."""
     placed = pieces.repartition("__tenant")
     return placed.sortWithinPartitions("__tenant", "__chunk", "__upto").mapInArrow(function, schema)
 
