@@ -264,7 +264,7 @@ def parsed(requests: str) -> str:
                               THEN (j->'$.messages')::JSON[] ELSE []::JSON[] END AS items FROM typed)))"""
 
 
-VERDICTS = """verdicts AS (
+ALL_VERDICTS = """verdicts AS (
     SELECT doc_id AS request_id, doc_id % 3 <> 0 AS allowed,
            CASE doc_id % 5
                WHEN 0 THEN []::STRUCT("rule" VARCHAR, severity VARCHAR, message VARCHAR)[]
@@ -272,7 +272,8 @@ VERDICTS = """verdicts AS (
                             {'rule': 'off_topic', 'severity': '', 'message': 'politics not allowed'}]
                WHEN 2 THEN [{'rule': 'off_topic', 'severity': NULL::VARCHAR, 'message': NULL::VARCHAR}]
            END AS reasons
-    FROM documents WHERE doc_id % 13 <> 0)"""
+    FROM documents)"""
+VERDICTS = ALL_VERDICTS.replace("FROM documents)", "FROM documents WHERE doc_id % 13 <> 0)")
 
 RAILS = f"""CASE WHEN allowed THEN {EMPTY}
     WHEN coalesce(len(reasons), 0) > 0 THEN list_transform(reasons, lambda r: {{
@@ -470,7 +471,7 @@ def oracles() -> dict[str, str]:
             SELECT request_id, allowed IS NOT NULL AS reached, allowed AS rail_allowed,
                    len(vs)::INTEGER AS rail_violations
             FROM prompts LEFT JOIN rails USING (request_id)""",
-        "verdict_violations": f"WITH {VERDICTS}, " + exploded("verdicts", "request_id", RAILS),
+        "verdict_violations": f"WITH {ALL_VERDICTS}, " + exploded("verdicts", "request_id", RAILS),
         "verdict_outage": f"""WITH {PROMPTS}, {VERDICTS}
             SELECT request_id, tenant, 'blocked' AS action, {lit(V.MSG_UNREACHABLE)} AS reason
             FROM prompts ANTI JOIN verdicts USING (request_id)""",

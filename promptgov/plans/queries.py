@@ -122,7 +122,7 @@ def verdict_join(spark, sf):
 
 def verdict_violations(spark, sf):
     found = verdicts.verdict_violations(F.col("allowed"), F.col("reasons"))
-    return listed(W.verdicts(spark, sf).select("request_id", found.alias("violations")), "request_id")
+    return listed(W.all_verdicts(spark, sf).select("request_id", found.alias("violations")), "request_id")
 
 
 def verdict_outage(spark, sf):
