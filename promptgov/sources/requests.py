@@ -34,7 +34,7 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     A body is valid if it is one JSON value, an object or null, whose model, role
     and content are strings and whose messages are a list of objects; each may be
     null or missing. Other members are ignored, and the last of several members
-    with one name counts. A body of more than 10 MiB is not parsed.
+    with one name counts. Long bodies are parsed too; the gate turns them away by itself.
 
     The JSON parser stops at the end of the first value. So the body is parsed
     inside a list that ends with the hash of the body: anything after the first
@@ -46,7 +46,7 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     text, tag = F.col(body), F.xxhash64(body)
     listed = F.concat(F.lit("["), text, F.lit(","), tag.cast("string"), F.lit("]"))
     parsed = (
-        df.withColumn("__list", F.when(F.octet_length(text) <= MAX_BODY_BYTES, F.try_parse_json(listed)))
+        df.withColumn("__list", F.try_parse_json(listed))
         .withColumn("__list", F.expr("try_cast(__list AS array<variant>)"))
         .withColumn("__tag", tag)
         .withColumn("__root", F.expr(
@@ -97,16 +97,17 @@ def prompt_of(messages: Column) -> Column:
 
 def requests_from_turns(
     turns: DataFrame, key: str, order: str, role: str = "role", text: str = "text",
-    model: str = "", max_body_bytes: int = MAX_BODY_BYTES,
+    model: str = "", max_body_bytes: int | None = None,
 ) -> DataFrame:
     """One request per `key`: a JSON body holding its turns in order, and `body_bytes`.
 
-    Conversations too long for any accepted request are found first from their
-    summed sizes. They get a NULL body, so no task collects more than one body.
+    Where `max_body_bytes` is given, conversations whose texts are longer are found first
+    from their summed sizes and get a NULL body.
     """
     own_bytes = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     size = turns.groupBy(key).agg(F.sum(own_bytes).alias("body_bytes"))
-    oversize = size.filter(F.col("body_bytes") > max_body_bytes)
+    limit = F.lit(max_body_bytes).cast("long")  # without one, no size is over it
+    oversize = size.filter(F.col("body_bytes") > limit)
     turn = F.struct(F.col(order).alias("at"), F.col(role).alias("role"), F.col(text).alias("content"))
     bodies = (
         turns.join(oversize.select(key), key, "left_anti")

@@ -39,10 +39,19 @@ def test_refused(spark, body):
     assert parse(spark, body) == [(False, None, None)]
 
 
-def test_oversize_body_is_not_parsed(spark):
+def test_long_body_is_parsed_whole(spark):
     df = spark.range(1).select(
         F.concat(F.lit('{"model":"'), F.repeat(F.lit("x"), MAX_BODY_BYTES), F.lit('"}')).alias("body"))
-    assert not parse_requests(df).first().valid
+    found = parse_requests(df).select("valid", F.length("model").alias("n")).first()
+    assert (found.valid, found.n) == (True, MAX_BODY_BYTES)
+
+
+def test_long_conversation_gives_its_whole_prompt(spark):
+    turns = spark.range(11).select(
+        F.lit(1).alias("conv"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+        F.repeat(F.lit("y"), 1 << 20).alias("text"))
+    found = parse_requests(requests_from_turns(turns, "conv", "turn")).select("valid", F.length("prompt").alias("n"))
+    assert tuple(found.first()) == (True, 11 * ((1 << 20) + 1))
 
 
 def test_turns(spark):
