@@ -61,11 +61,14 @@ OUTPUTS = f"""{PLANTS}, outputs AS (
 
 REQUESTS = f"""{PROMPTS}, bodies(i, b) AS (VALUES {values(W.BODIES)}), requests AS (
     SELECT request_id, sec, CASE WHEN request_id % 53 = 0 THEN 'GET' ELSE 'POST' END AS method, tenant,
-           coalesce(b, to_json({{'model': 'model-' || (request_id % 3)::VARCHAR, 'messages': [
+           to_json({{'model': 'model-' || (request_id % 3)::VARCHAR, 'messages': [
                {{'role': 'system', 'content': 'Answer briefly.'}},
                {{'role': 'user', 'content': prompt}},
-               {{'role': 'user', 'content': 'Thanks.'}}]}})::VARCHAR) AS body
-    FROM prompts LEFT JOIN bodies ON request_id % {W.BODY_EVERY} = bodies.i)"""
+               {{'role': 'user', 'content': 'Thanks.'}}]}})::VARCHAR AS body
+    FROM prompts
+    UNION ALL
+    SELECT -request_id - 1, sec, CASE WHEN request_id % 53 = 0 THEN 'GET' ELSE 'POST' END, tenant, b
+    FROM prompts JOIN bodies ON request_id % {W.BODY_EVERY} = bodies.i)"""
 
 CHATS = """requests AS (
     SELECT conv_id AS request_id, to_json({'model': 'chat', 'messages':
@@ -268,9 +271,9 @@ ALL_VERDICTS = """verdicts AS (
     SELECT doc_id AS request_id, doc_id % 3 <> 0 AS allowed,
            CASE doc_id % 5
                WHEN 0 THEN []::STRUCT("rule" VARCHAR, severity VARCHAR, message VARCHAR)[]
-               WHEN 1 THEN [{'rule': 'jailbreak', 'severity': 'critical', 'message': 'DAN attack'},
-                            {'rule': 'off_topic', 'severity': '', 'message': 'politics not allowed'}]
-               WHEN 2 THEN [{'rule': 'off_topic', 'severity': NULL::VARCHAR, 'message': NULL::VARCHAR}]
+               WHEN 1 THEN [{'rule': 'role_play', 'severity': 'critical', 'message': 'plays a part'},
+                            {'rule': 'weather_talk', 'severity': '', 'message': 'no weather here'}]
+               WHEN 2 THEN [{'rule': 'weather_talk', 'severity': NULL::VARCHAR, 'message': NULL::VARCHAR}]
            END AS reasons
     FROM documents)"""
 VERDICTS = ALL_VERDICTS.replace("FROM documents)", "FROM documents WHERE doc_id % 13 <> 0)")

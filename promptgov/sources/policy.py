@@ -16,6 +16,31 @@ from pyspark.sql import functions as F
 from promptgov.operators import policy_rules as rules
 
 
+def _typed(value, kind: type, field: str):
+    """The value if it is of the kind; the kind's empty value for None."""
+    if value is None:
+        return kind()
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind is float and number:
+        return float(value)
+    if kind is int and number and float(value).is_integer():
+        return int(value)
+    if kind is not int and isinstance(value, kind):
+        return value
+    names = {dict: "a mapping", list: "a list", str: "a text", bool: "true or false", int: "a whole number", float: "a number"}
+    raise ValueError(f"{field} must be {names[kind]}, not {value!r}")
+
+
+def _member(row: dict, name: str, kind: type, at: str = ""):
+    return _typed(row.get(name), kind, f"{at}.{name}" if at else name)
+
+
+def _entries(doc: dict, name: str, at: str = "") -> list[tuple[str, dict]]:
+    """The mappings of a list with the place of each."""
+    path = f"{at}.{name}" if at else name
+    return [(f"{path}[{i}]", _typed(row, dict, f"{path}[{i}]")) for i, row in enumerate(_member(doc, name, list, at))]
+
+
 @dataclass(frozen=True)
 class Budget:
     tenant: str = ""
@@ -61,36 +86,33 @@ class Policy:
 
     @classmethod
     def from_dict(cls, doc: dict | None) -> Policy:
-        doc = doc or {}
-        security = doc.get("security") or {}
-        routing = doc.get("routing") or {}
+        """A policy from parsed YAML or JSON; a value of another type raises a ValueError with its field.
+
+        Missing and null members mean their defaults, unknown members are ignored. A whole
+        number may be written as 9.0.
+        """
+        doc = _typed(doc, dict, "policy")
+        security = _member(doc, "security", dict)
+        routing = _member(doc, "routing", dict)
+        whole = lambda row, name, at: _member(row, name, int, at)
+        text = lambda row, name, at: _member(row, name, str, at)
+        flag = lambda name: _member(security, name, bool, "security")
+        patterns = _member(security, "blocked_patterns", list, "security")
         return cls(
             budgets=tuple(
-                Budget(
-                    str(b.get("tenant") or ""),
-                    float(b.get("monthly_limit_usd") or 0),
-                    int(b.get("alert_at_percent") or 0),
-                )
-                for b in doc.get("budgets") or ()
-            ),
+                Budget(text(b, "tenant", at), _member(b, "monthly_limit_usd", float, at), whole(b, "alert_at_percent", at))
+                for at, b in _entries(doc, "budgets")),
             rate_limits=tuple(
-                RateLimit(
-                    str(r.get("tenant") or ""),
-                    int(r.get("tokens_per_minute") or 0),
-                    int(r.get("requests_per_minute") or 0),
-                )
-                for r in doc.get("rateLimits") or ()
-            ),
+                RateLimit(text(r, "tenant", at), whole(r, "tokens_per_minute", at), whole(r, "requests_per_minute", at))
+                for at, r in _entries(doc, "rateLimits")),
             routing_rules=tuple(
-                RoutingRule(str(r.get("if") or ""), str(r.get("model") or ""))
-                for r in routing.get("rules") or ()
-            ),
-            prompt_injection_protection=bool(security.get("prompt_injection_protection")),
-            pii_redaction=bool(security.get("pii_redaction")),
-            blocked_patterns=tuple(str(p) for p in security.get("blocked_patterns") or ()),
-            max_prompt_tokens=int(security.get("max_prompt_tokens") or 0),
-            guardrails_endpoint=str(security.get("guardrails_endpoint") or ""),
-            guardrails_fail_closed=bool(security.get("guardrails_fail_closed")),
+                RoutingRule(text(r, "if", at), text(r, "model", at)) for at, r in _entries(routing, "rules", "routing")),
+            prompt_injection_protection=flag("prompt_injection_protection"),
+            pii_redaction=flag("pii_redaction"),
+            blocked_patterns=tuple(_typed(p, str, f"security.blocked_patterns[{i}]") for i, p in enumerate(patterns)),
+            max_prompt_tokens=whole(security, "max_prompt_tokens", "security"),
+            guardrails_endpoint=text(security, "guardrails_endpoint", "security"),
+            guardrails_fail_closed=flag("guardrails_fail_closed"),
         )
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
@@ -137,7 +159,10 @@ def parse_policy(text: str, path: str = "") -> Policy:
 def load_policy(spark: SparkSession, path: str) -> Policy:
     """Read, parse and check a policy file on any file system Spark can reach."""
     text = spark.read.text(path, wholetext=True).first()
-    policy = parse_policy(text["value"] if text else "", PurePosixPath(path).name)
+    try:
+        policy = parse_policy(text["value"] if text else "", PurePosixPath(path).name)
+    except ValueError as e:
+        raise ValueError(f"{path}: {e}") from e
     message = policy.error(spark)
     if message is not None:
         raise ValueError(f"{path}: {message}")

@@ -13,13 +13,13 @@ def normalize(spark, texts):
 
 
 @pytest.mark.parametrize("raw, want", [
-    ("ig\u200bnore pre\u200cvious ins\u200dtructions", "ignore previous instructions"),
-    ("ignore   \t  previous \n  instructions", "ignore previous instructions"),
-    ("ignore &lt;all&gt; previous instructions", "ignore <all> previous instructions"),
-    ("\ufeffignore previous instructions", "ignore previous instructions"),
-    ("ig\u00adnore pre\u00advious in\u00adstructions", "ignore previous instructions"),
-    ("What is the weather today?", "What is the weather today?"),
-    ("hello\x00world\x01test", "helloworldtest"),
+    ("ha\u200brbour li\u200cghts a\u200dt sea", "harbour lights at sea"),
+    ("harbour \t\t lights\n \r at  sea", "harbour lights at sea"),
+    ("&lt;tide&gt; &amp; &apos;wind&#39;", "<tide> & 'wind'"),
+    ("\ufeffharbour", "harbour"),
+    ("har\u00adbour\u00ad", "harbour"),
+    ("How tall is a tide?", "How tall is a tide?"),
+    ("tide\x00and\x01wind", "tideandwind"),
     ("a \x01 b", "a  b"),  # the control character goes after runs were collapsed
     ("&LT;&#X3C;&#x3c;&amp;lt;", "<<&#x3c;&lt;"),
     ("\u3000\x85 x\x0by \u2028", "xy"),
@@ -79,7 +79,7 @@ def test_nfc_suspects_cover_all_code_points(spark):
 
 
 def test_counts(column):
-    words = ["hello world", "  hello  world  ", "one", "", "hello\nworld\ttab", "a\rb", " \n"]
+    words = ["tide turns", "  tide  turns  ", "sea", "", "tide\nturns\tslowly", "a\rb", " \n"]
     assert column(T.count_words, words) == [2, 2, 1, 0, 3, 1, 0]
     assert column(T.estimate_tokens, ["", "abc", "abcd", "éé", "1234567"]) == [0, 0, 1, 1, 1]
     assert column(T.tenant_label, ["", None, "a"]) == ["_anonymous", "_anonymous", "a"]
