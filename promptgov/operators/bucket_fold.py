@@ -8,7 +8,10 @@ first ask then counts as a refill of any length, which leaves it full.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
+from itertools import zip_longest
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,8 @@ NEVER = -(1 << 62)
 
 # Row kinds, in the order they sort in front of each other within a chunk.
 ENTRY, ASK, RESET, EXEMPT = 0, 1, 2, 3
+# Stands for the chunk in rows that lead a group of chunks.
+LEAD = -1
 
 
 def _values(column):
@@ -140,23 +145,66 @@ FILL_ENTRY = pa.schema([
 ])
 
 
+def _functions(batches, *names):
+    """Rows sorted by (tenant, group, chunk, upto) -> (tenant, group, chunk, rows of that function)."""
+    key, held = None, []
+    for tenant, group, chunk, *row in _rows(batches, "__tenant", "__group", "__chunk", *names):
+        if key != (tenant, group, chunk):
+            if held:
+                yield *key, held
+            key, held = (tenant, group, chunk), []
+        held.append(row)
+    if held:
+        yield *key, held
+
+
+def _fill_after(pieces, fill):
+    """A refill later than all pieces stays the last one."""
+    at = bisect_left(pieces, fill, key=itemgetter(0))
+    return pieces[at][1] if at < len(pieces) else fill
+
+
 def fill_entries(batches):
-    """Pieces sorted by (tenant, chunk, upto) -> the refill time each chunk starts from."""
+    """Pieces sorted by (tenant, group, chunk, upto) -> the refill time each chunk starts from.
+
+    A group may be led by a row with chunk LEAD that holds the refill it starts from.
+    """
 
     def rows():
-        tenant_now, chunk_now, fill, open_ = None, None, NEVER, False
-        for tenant, chunk, upto, end in _rows(batches, "__tenant", "__chunk", "__upto", "__fill"):
-            if tenant != tenant_now:
-                tenant_now, chunk_now, fill = tenant, None, NEVER
-            if chunk != chunk_now:
-                chunk_now, open_ = chunk, True
-                yield tenant, chunk, fill
-            if open_ and fill <= upto:
-                fill, open_ = end, False
+        group_now, fill = None, NEVER
+        for tenant, group, chunk, pieces in _functions(batches, "__upto", "__fill"):
+            if (tenant, group) != group_now:
+                group_now, fill = (tenant, group), NEVER
+            if chunk == LEAD:
+                fill = pieces[0][1]
+                continue
+            yield tenant, chunk, fill
+            fill = _fill_after(pieces, fill)
 
     return _emit(rows(), FILL_ENTRY)
 
 
+def fill_compose(batches):
+    """Pieces sorted by (tenant, group, chunk, upto) -> the pieces of each group as one function."""
+
+    def rows():
+        group_now, whole = None, []
+        for tenant, group, _, pieces in _functions(batches, "__upto", "__fill"):
+            if (tenant, group) != group_now:
+                if group_now:
+                    yield from ((*group_now, *piece) for piece in whole)
+                group_now, whole = (tenant, group), pieces
+                continue
+            last = whole[-1][0]
+            both = [(upto, _fill_after(pieces, end)) for upto, end in whole]
+            both += [(upto, end) for upto, end in pieces if upto > last]
+            whole = [p for p, after in zip_longest(both, both[1:]) if after is None or after[1] != p[1]]
+        if group_now:
+            yield from ((*group_now, *piece) for piece in whole)
+
+    return _emit(rows(), FILL_MAP)
+
+
 # -- how balances carry over ------------------------------------------------
 
 BALANCE_MAP = pa.schema([
@@ -168,19 +216,22 @@ BALANCE_MAP = pa.schema([
 class _BalanceChunk:
     """For one chunk: the balance at its end, as a function of the one before it.
 
-    All balances from 0 to the capacity are followed at once: `values` holds the
-    distinct current ones and `index` says which one each starting balance reached.
-    Spending makes balances meet, and a full bucket makes all of them meet; then a
-    single number is left.
+    All balances from 0 to the capacity are followed at once, as stretches of starting
+    balances: stretch i ends at `upto[i]` and has reached image `which[i]`. An image is a run
+    of balances, `low` to `low + size`; with size 0 its whole stretch has reached one balance.
+    An ask cuts the images it falls into, a refill those that it fills; stretches with equal
+    images share one. So the work depends on the number of images, not on the capacity. A full
+    bucket makes all balances meet; then a single number is left.
     """
 
     def __init__(self, fill, rate, capacity):
         self.fill, self.entry_fill = fill, fill
         self.rate, self.capacity = rate, capacity
-        self.single = None
-        self.values = self.index = None
+        self.single = 0 if capacity == 0 else None
+        self.upto, self.which = np.array([capacity]), np.array([0])
+        self.lows, self.sizes = np.array([0]), np.array([capacity])
         self.low, self.high = 0, capacity
-        self.splits = 0
+        self.tidy = 64  # so many images are made before equal ones are looked for
 
     def ask(self, us, tokens):
         minutes = (us - self.fill) // MINUTE
@@ -202,57 +253,65 @@ class _BalanceChunk:
         elif self.low + added >= self.capacity:
             self.single = self.capacity
         else:
-            self._materialise()
-            self.values = np.minimum(self.values + added, self.capacity)
-            self._settle(force=self.high + added > self.capacity)
+            self.lows = self.lows + added
+            if self.high + added > self.capacity:
+                self._cut(self.capacity + 1)
+                over = self.lows > self.capacity
+                self.lows[over], self.sizes[over] = self.capacity, 0
+            self._settle()
 
     def _spend(self, tokens):
-        self._materialise()
-        if tokens <= self.low:
-            self.values = self.values - tokens
-            self.low, self.high = self.low - tokens, self.high - tokens
-        else:
-            self.values = np.where(self.values >= tokens, self.values - tokens, self.values)
-            self.splits += 1
-            self._settle(force=self.splits % 256 == 0)
-
-    def _materialise(self):
-        if self.values is None:
-            self.values = np.arange(self.capacity + 1, dtype=np.int64)
-            self.index = np.arange(self.capacity + 1)
-
-    def _settle(self, force):
-        self.low, self.high = int(self.values.min()), int(self.values.max())
+        if tokens > self.low:
+            self._cut(tokens)
+        self.lows = np.where(self.lows >= tokens, self.lows - tokens, self.lows)
+        self._settle()
+
+    def _cut(self, at):
+        """Cut images with balances on both sides of `at`, and the stretches that reached them."""
+        cut = (self.lows < at) & (self.lows + self.sizes >= at)
+        if not cut.any():
+            return
+        upper = self.lows[cut] + self.sizes[cut] - at
+        twice = cut[self.which]
+        second = len(self.lows) + np.cumsum(cut) - 1  # the image that gets the upper part
+        places = np.cumsum(1 + twice) - 1
+        which, upto = np.repeat(self.which, 1 + twice), np.repeat(self.upto, 1 + twice)
+        which[places[twice]] = second[self.which[twice]]
+        lengths = (self.lows + self.sizes - at + 1)[self.which[twice]]
+        upto[places[twice] - 1] = self.upto[twice] - lengths
+        self.which, self.upto = which, upto
+        self.sizes = np.concatenate([np.where(cut, at - 1 - self.lows, self.sizes), upper])
+        self.lows = np.concatenate([self.lows, np.full(len(upper), at)])
+
+    def _settle(self):
+        if len(self.lows) > self.tidy:
+            images, where = np.unique(np.stack([self.lows, self.sizes]), axis=1, return_inverse=True)
+            (self.lows, self.sizes), self.which = images, where.reshape(-1)[self.which]
+            ends = np.r_[(self.which[1:] != self.which[:-1]) | (self.sizes[self.which[1:]] > 0), True]
+            self.upto, self.which = self.upto[ends], self.which[ends]
+            self.tidy = 2 * len(self.lows) + 64
+        self.low, self.high = int(self.lows.min()), int((self.lows + self.sizes).max())
         if self.low == self.high:
             self.single = self.low
-        elif force or self.values.size > 2 * (self.high - self.low + 1):
-            self.values, where = np.unique(self.values, return_inverse=True)
-            self.index = where.reshape(-1)[self.index]
 
     def pieces(self):
         """(upto, balance, slope): from `upto` down to the piece before, the end balance
         is `balance` less `slope` for each token below `upto`."""
         if self.single is not None:
             return [(self.capacity, self.single, 0)]
-        if self.values is None:
-            return [(self.capacity, self.capacity, 1)]
-        ends = self.values[self.index]
-        steps = np.diff(ends)
-        pieces, start, n = [], 0, ends.size
-        cuts = np.flatnonzero(np.diff(steps)) + 1 if steps.size else np.array([], dtype=int)
-        # Stretches of equal step: straight ones become a piece, jumps end one.
-        for left, right in zip(np.r_[0, cuts], np.r_[cuts, steps.size]):
-            step = int(steps[left])
-            if step in (0, 1):
-                pieces.append((int(right), int(ends[right]), step))
-                start = int(right) + 1
-            else:
-                for at in range(max(int(left), start), int(right) + 1):
-                    pieces.append((at, int(ends[at]), 0))
-                start = int(right) + 1
-        if start < n:
-            pieces.append((n - 1, int(ends[n - 1]), 0))
-        return pieces
+        sizes = self.sizes[self.which]
+        ends = self.lows[self.which] + sizes
+        return _joined(zip(self.upto.tolist(), ends.tolist(), (sizes > 0).astype(int).tolist()))
+
+
+def _joined(pieces):
+    """Neighbours that go on alike as one piece."""
+    out = []
+    for upto, end, slope in pieces:
+        if out and out[-1][2] == slope and out[-1][1] == end - slope * (upto - out[-1][0]):
+            out.pop()
+        out.append((upto, end, slope))
+    return out
 
 
 def balance_maps(rate, capacity):
@@ -285,25 +344,65 @@ ENTRIES = pa.schema([
 ])
 
 
+def _balance_after(pieces, balance):
+    upto, end, slope = pieces[bisect_left(pieces, balance, key=itemgetter(0))]
+    return end - slope * (upto - balance)
+
+
 def balance_entries(capacity):
-    """Pieces sorted by (tenant, chunk, upto) -> refill time and balance at each start."""
+    """Pieces sorted by (tenant, group, chunk, upto) -> refill time and balance at each start.
+
+    A group may be led by a row with chunk LEAD that holds the balance it starts from.
+    """
 
     def rows(batches):
-        tenant_now, chunk_now, balance, open_ = None, None, capacity, False
-        for tenant, chunk, fill, upto, end, slope in _rows(
-            batches, "__tenant", "__chunk", "__fill", "__upto", "__balance", "__slope"
-        ):
-            if tenant != tenant_now:
-                tenant_now, chunk_now, balance = tenant, None, capacity
-            if chunk != chunk_now:
-                chunk_now, open_ = chunk, True
-                yield tenant, chunk, fill, balance
-            if open_ and balance <= upto:
-                balance, open_ = end - slope * (upto - balance), False
+        group_now, balance = None, capacity
+        for tenant, group, chunk, found in _functions(batches, "__fill", "__upto", "__balance", "__slope"):
+            if (tenant, group) != group_now:
+                group_now, balance = (tenant, group), capacity
+            if chunk == LEAD:
+                balance = found[0][2]
+                continue
+            yield tenant, chunk, found[0][0], balance
+            balance = _balance_after([p[1:] for p in found], balance)
 
     return lambda batches: _emit(rows(batches), ENTRIES)
 
 
+def _balance_through(whole, pieces):
+    """The pieces of `whole` followed by `pieces`."""
+    start = 0
+    for upto, end, slope in whole:
+        low = end - slope * (upto - start)
+        at = bisect_left(pieces, low, key=itemgetter(0))
+        while True:  # the pieces that the balances from low to end fall into
+            last, after, step = pieces[at]
+            top = min(last, end)
+            yield upto - (end - top), after - step * (last - top), step * slope
+            if top == end:
+                break
+            at += 1
+        start = upto + 1
+
+
+def balance_compose(batches):
+    """Pieces sorted by (tenant, group, chunk, upto) -> the pieces of each group as one function."""
+
+    def rows():
+        group_now, whole = None, []
+        for tenant, group, _, found in _functions(batches, "__upto", "__balance", "__slope"):
+            if (tenant, group) != group_now:
+                if group_now:
+                    yield from ((*group_now, 0, *piece) for piece in whole)
+                group_now, whole = (tenant, group), found
+            else:
+                whole = _joined(_balance_through(whole, found))
+        if group_now:
+            yield from ((*group_now, 0, *piece) for piece in whole)
+
+    return _emit(rows(), BALANCE_MAP)
+
+
 # -- decisions --------------------------------------------------------------
 
 
@@ -318,17 +417,20 @@ def step(fill, balance, us, tokens, rate, capacity):
 
 
 def decide(rate, capacity, keep):
-    """Sorted rows, each chunk led by its ENTRY row -> the columns `keep` of all other
-    rows with `allowed` and `remaining`."""
+    """Sorted rows -> the columns `keep` with `allowed` and `remaining`. An ENTRY row, which is
+    not returned, says what a tenant's chunk starts from; without one the bucket is new."""
 
     def run(batches):
-        fill, balance = NEVER, capacity
+        tenant_now, fill, balance = None, NEVER, capacity
         for batch in batches:
             allowed, remaining, mask = [], [], []
             names = ("__us", "__kind", "__ask", "__fill", "__balance")
             columns = (_values(batch.column(n)) for n in names)
-            for us, kind, tokens, entry_fill, entry_balance in zip(*columns):
+            tenants = _values(batch.column("__tenant").fill_null(""))
+            for tenant, us, kind, tokens, entry_fill, entry_balance in zip(tenants, *columns):
                 mask.append(kind != ENTRY)
+                if tenant != tenant_now and kind != EXEMPT:
+                    tenant_now, fill, balance = tenant, NEVER, capacity
                 if kind == ASK:
                     fill, balance, ok = step(fill, balance, us, tokens, rate, capacity)
                     allowed.append(ok)

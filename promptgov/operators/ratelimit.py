@@ -9,17 +9,20 @@ Yet no tenant is handled by one task. The asks in order of tenant and time are c
 chunks of about equal size, and every step over the asks runs on all chunks in parallel:
 
 1. Each chunk gives the last refill at its end as a function of the one before it.
-2. Per tenant, these small functions are applied in turn: the refill each chunk
-   starts from.
+2. These functions are applied in turn: the refill each chunk starts from.
 3. Each chunk, its refills known now, gives the balance at its end as a function of
    the one before it.
-4. Per tenant, these are applied in turn: the balance each chunk starts from.
+4. These are applied in turn: the balance each chunk starts from.
 5. Each chunk decides its asks.
 
-The result is that of one pass over the asks in order. Steps 2 and 4 see the pieces of
-a tenant's chunk functions: few where a chunk spans many minutes, up to one per ask where it
-is shorter than a minute. The chunks are a written table, which
-steps 1, 3 and 5 read.
+Steps 1 to 4 are taken only for tenants that a cut goes through, at most one per cut. Steps
+2 and 4 work on FAN functions at a time: neighbours are composed level by level, the top
+level is applied, and its results go down again. So a task reads FAN functions of a tenant,
+however many chunks the tenant has. The result is that of one pass over the asks in order.
+
+A refill function has at most one piece per ask. A balance function has as many as the asks cut the
+balances into, at most the capacity plus one: about 10,000 after 500 asks of mixed sizes that
+did not fill the bucket, at any capacity from 100,000 to 200 million; one once it was full.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from pyspark.sql import types as T
 
 from promptgov.operators import bucket_fold as fold
 from promptgov.operators.clock import micros
-from promptgov.plans.lineage import in_chunks, task_count
+from promptgov.plans.lineage import cut_lineage, in_chunks, task_count
 
 _TIME = ["__us", "__order"]
+#: So many functions are composed or applied by one task.
+FAN = 16
 
 
 def token_bucket(
@@ -71,17 +76,19 @@ def token_bucket(
     rows = in_chunks(rows, ["__tenant", *_TIME], "bucket")
     core = rows.filter(F.col("__kind") != fold.EXEMPT).select(
         "__tenant", "__chunk", *_TIME, "__kind", "__ask")
+    # At most one tenant per cut, so no more rows than there are tasks.
+    core = core.join(F.broadcast(_cut_through(core)), "__tenant")
 
     refills = _by_chunk(core, fold.fill_maps,
                         "__tenant string, __chunk long, __upto long, __fill long")
-    starts = _by_tenant(refills, fold.fill_entries,
-                        "__tenant string, __chunk long, __fill long")
+    starts = _in_turn(refills, fold.fill_compose, fold.fill_entries, "__fill",
+                      "__tenant string, __chunk long, __fill long")
 
     balances = _by_chunk(_led_by(core, starts), fold.balance_maps(rate, capacity),
                          "__tenant string, __chunk long, __fill long, __upto long, "
                          "__balance long, __slope long")
-    starts = _by_tenant(balances, fold.balance_entries(capacity),
-                        "__tenant string, __chunk long, __fill long, __balance long")
+    starts = _in_turn(balances, fold.balance_compose, fold.balance_entries(capacity), "__balance",
+                      "__tenant string, __chunk long, __fill long, __balance long")
 
     out = T.StructType(
         [T.StructField(f.name, f.dataType) for f in asks.schema]
@@ -96,10 +103,36 @@ def _by_chunk(rows: DataFrame, function, schema) -> DataFrame:
     return placed.sortWithinPartitions("__chunk", "__tenant", *_TIME).mapInArrow(function, schema)
 
 
-def _by_tenant(pieces: DataFrame, function, schema) -> DataFrame:
-    """The pieces of each tenant's chunks in order, a tenant in one task."""
-    placed = pieces.repartition("__tenant")
-    return placed.sortWithinPartitions("__tenant", "__chunk", "__upto").mapInArrow(function, schema)
+def _cut_through(core: DataFrame) -> DataFrame:
+    """The tenants with rows in several chunks: each is the first or last of those chunks."""
+    ends = core.groupBy("__chunk").agg(F.min("__tenant").alias("low"), F.max("__tenant").alias("high"))
+    ends = ends.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("__tenant"))
+    return cut_lineage(ends.groupBy("__tenant").count().filter("count > 1").select("__tenant"), "bucket-cuts")
+
+
+def _in_turn(pieces: DataFrame, compose, entries, state: str, schema: str, fan: int = FAN) -> DataFrame:
+    """Apply the chunks' functions per tenant in order: what each chunk starts from."""
+    levels, width = [pieces], task_count(pieces.sparkSession)
+    if width > fan:
+        levels = [cut_lineage(pieces, "bucket-functions")]
+    while width > fan:
+        grouped = _grouped(levels[-1], F.floor(F.col("__chunk") / fan))
+        levels.append(cut_lineage(grouped.mapInArrow(compose, pieces.schema), "bucket-functions"))
+        width = -(-width // fan)
+    starts = _grouped(levels.pop(), F.lit(0)).mapInArrow(entries, schema)
+    for level in reversed(levels):
+        zeros = {f.name: F.lit(0).cast("long") for f in pieces.schema if f.name not in ("__tenant", "__chunk", state)}
+        lead = starts.select("__tenant", F.col("__chunk").alias("__group"), state).withColumns(
+            {"__chunk": F.lit(fold.LEAD).cast("long"), **zeros})
+        led = level.withColumn("__group", F.floor(F.col("__chunk") / fan)).unionByName(lead)
+        starts = _grouped(led, F.col("__group")).mapInArrow(entries, schema)
+    return starts
+
+
+def _grouped(pieces: DataFrame, group: Column) -> DataFrame:
+    """The pieces of each group of a tenant's chunks in order, a group in one task."""
+    placed = pieces.withColumn("__group", group.cast("long")).repartition("__tenant", "__group")
+    return placed.sortWithinPartitions("__tenant", "__group", "__chunk", "__upto")
 
 
 def _led_by(rows: DataFrame, starts: DataFrame) -> DataFrame:

@@ -80,10 +80,25 @@ def test_one_hot_instant(spark):
     assert got == one_by_one(rows, 50, 4000)
 
 
-def chunked(rows, size, rate, capacity):
-    """All five steps on Arrow batches, with chunks of `size` rows."""
+def chunked(rows, size, rate, capacity, fan=3):
+    """All five steps on Arrow batches, with chunks of `size` rows, `fan` functions at a time."""
     import pyarrow as pa
 
+    def in_turn(pieces, columns, compose, entries, state):
+        def grouped(rows):
+            named = [dict(zip(["__group", *columns], r)) for r in rows]
+            named.sort(key=lambda r: (r["__tenant"], r["__group"], r["__chunk"], r["__upto"]))
+            return [pa.RecordBatch.from_pylist(named)]
+
+        levels = [pieces]
+        while max(p[1] for p in levels[-1]) >= fan:
+            levels.append(tuples(compose(grouped((p[1] // fan, *p) for p in levels[-1]))))
+        starts = tuples(entries(grouped((0, *p) for p in levels.pop())))
+        for level in reversed(levels):
+            lead = [(s[1], s[0], fold.LEAD, *[0] * (state - 2), s[-1], *[0] * (len(columns) - state - 1)) for s in starts]
+            starts = tuples(entries(grouped([(p[1] // fan, *p) for p in level] + lead)))
+        return starts
+
     def batch(data, names):
         return [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*data)))))] if data else []
 
@@ -94,13 +109,13 @@ def chunked(rows, size, rate, capacity):
     core = [(t, n // size, us, i, fold.RESET if a == "reset" else fold.ASK, 0 if a == "reset" else a)
             for n, (t, us, i, a) in enumerate(ordered)]
     names = ["__tenant", "__chunk", "__us", "__order", "__kind", "__ask", "__fill", "__balance"]
-    pieces = sorted(tuples(fold.fill_maps(batch(core, names[:6]))))
-    fills = tuples(fold.fill_entries(batch(pieces, ["__tenant", "__chunk", "__upto", "__fill"])))
+    pieces = tuples(fold.fill_maps(batch(core, names[:6])))
+    columns = ["__tenant", "__chunk", "__upto", "__fill"]
+    fills = in_turn(pieces, columns, fold.fill_compose, fold.fill_entries, 3)
     led = sorted([r + (0,) for r in core] + [(t, c, fold.NEVER, -1, fold.ENTRY, 0, f) for t, c, f in fills])
-    pieces = sorted(tuples(fold.balance_maps(rate, capacity)(batch(led, names[:7]))),
-                    key=lambda r: (r[0], r[1], r[3]))
-    entries = tuples(fold.balance_entries(capacity)(
-        batch(pieces, ["__tenant", "__chunk", "__fill", "__upto", "__balance", "__slope"])))
+    pieces = tuples(fold.balance_maps(rate, capacity)(batch(led, names[:7])))
+    columns = ["__tenant", "__chunk", "__fill", "__upto", "__balance", "__slope"]
+    entries = in_turn(pieces, columns, fold.balance_compose, fold.balance_entries(capacity), 4)
     led = sorted([r + (0, 0) for r in core] + [(t, c, fold.NEVER, -1, fold.ENTRY, 0, f, b) for t, c, f, b in entries])
     done = tuples(fold.decide(rate, capacity, ["__order"])(batch(led, names)))
     return [(a, r) for _, a, r in sorted(done)]
@@ -150,3 +165,39 @@ def test_rows_without_a_time_are_exempt(spark):
     rows = rows.withColumn("ts", F.when(~untimed, F.col("ts")))
     out = token_bucket(rows, 10, 100).orderBy("request_id").collect()
     assert [(r.allowed, r.remaining) for r in out] == [(True, 40), (True, None), (False, 40), (True, None)]
+
+
+def test_work_does_not_grow_with_the_capacity():
+    """500 asks of up to a twentieth of the rate: images stay few, pieces far below the capacity."""
+    for rate in (1_500, 50_000, 1_000_000, 100_000_000):
+        rng = random.Random(1)
+        chunk = fold._BalanceChunk(0, rate, 2 * rate)
+        for i in range(500):
+            chunk.ask(2_500 * i, rng.randint(1, rate // 20))
+        assert len(chunk.lows) < 1_000 and len(chunk.pieces()) < 25_000
+
+
+def test_large_capacities():
+    """A hot tenant with asks at the rates of large policies, chunks shorter than a minute."""
+    rng = random.Random(4)
+    for rate in (50_000, 1_000_000):
+        rows = [("hot", i / 400, rng.randint(1, rate // 20)) for i in range(2_500)]
+        assert chunked(rows, 500, rate, 2 * rate) == one_by_one(rows, rate, 2 * rate)
+
+
+def test_many_levels_on_spark(spark, monkeypatch):
+    from promptgov.operators import ratelimit
+
+    in_turn = ratelimit._in_turn
+    monkeypatch.setattr(ratelimit, "_in_turn", lambda *a: in_turn(*a, fan=2))
+    rng = random.Random(9)
+    rows = [(rng.choice("hhhhhab"), rng.randrange(8000) / 4, rng.randint(0, 90)) for _ in range(1500)]
+    assert run(spark, rows, 50, 400) == one_by_one(rows, 50, 400)
+
+
+def test_only_tenants_on_a_cut_are_composed(spark):
+    from promptgov.operators.ratelimit import _cut_through
+
+    rows = [(0, "a"), (0, "b"), (1, "b"), (2, "b"), (2, "c"), (3, "d"), (3, "d"), (4, "e"), (4, "f"), (4, "g")]
+    core = spark.createDataFrame(rows, "__chunk long, __tenant string")
+    assert [r[0] for r in _cut_through(core).collect()] == ["b"]
