@@ -15,8 +15,9 @@ the order of (id, line number). Lines shorter than `least` code points always st
 Only built-in expressions are used.
 
 Defined results: null and empty texts have one empty line, which stays; null ids come first;
-rows that share an id keep lines apart by number only, so of two equal lines with one id and
-number both stay; other columns pass through.
+in `line_join` rows that share an id keep lines apart by number only, so of two equal lines with
+one id and number both stay; `drop_lines` tells all rows apart, whatever their ids, and orders
+rows of one id by the hash of their text; other columns pass through.
 """
 
 from __future__ import annotations
@@ -206,13 +207,15 @@ def drop_lines(
     """The documents without removed lines; other columns unchanged.
 
     A document all of whose lines are copies keeps its row, with an empty text; a null text
-    stays null.
+    stays null. Rows are numbered and written first, as ids may be null or repeated.
     """
     names = documents.columns
-    gone = line_join(documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")),
+    rows = cut_lineage(documents.withColumn("__row", F.monotonically_increasing_id()), "line-rows")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col("__row").alias("row"))
+    gone = line_join(rows.select(key.alias("__id"), F.col(text_col).alias("__text")),
                      edits, least, "__id", "__text").filter("removed")
-    gone = gone.groupBy("__id").agg(F.collect_set("line_no").alias("__gone"))
-    met = documents.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    gone = gone.groupBy(F.col("__id.row").alias("__row")).agg(F.collect_set("line_no").alias("__gone"))
+    met = rows.join(gone, "__row", "left")
     kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("__gone", i) | (F.length(line) < least))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return met.withColumn(text_col, text).select(names)

@@ -129,6 +129,17 @@ def test_line_join(spark):
     assert line_dedup.line_join(table(spark, [])).count() == 0
 
 
+def test_dropped_lines_of_null_and_repeated_ids(spark):
+    long_ = [f"line number {i} {words(80 + i, 12)}" for i in range(6)]
+    rows = [(None, [0, 1]), (None, [2, 0]), (7, [3, 4]), (7, [5, 3]), (9, [1, 5]), (9, [1, 5])]
+    docs = table(spark, ["\n".join(long_[i] for i in lines) for _, lines in rows], [i for i, _ in rows])
+    got = line_dedup.drop_lines(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or 0, line) for r in got.collect() for line in r.text.split("\n") if line)
+    first = [(0, 0), (0, 1), (0, 2), (7, 3), (7, 4), (7, 5)]
+    assert got.count() == 6 and kept == sorted((i, long_[n]) for i, n in first)
+
+
 def test_quality(spark):
     docs = table(spark, TEXTS + [("same words again and here " * 40), "# $ % & | < > * " * 9])
     judged = {r.doc_id: r for r in quality.judged(docs).collect()}
