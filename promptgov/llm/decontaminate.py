@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptgov.llm.common import as_bytes, map_rows
+from promptgov.llm.common import as_bytes, cut_lineage, map_rows
 
 #: Words keep digits, lower-case letters and everything beyond ASCII; A-Z become lower case.
 WORD_BYTES = bytes(
@@ -155,7 +155,7 @@ def contamination(
         F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("__key"), text_col)
     parts = None
     for block in range(blocks):
-        part = _collected(found.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block))
+        part = _collected(_block(found, block, blocks))
         rows = _search(keyed, part, "__key", text_col, HITS,
                        lambda n, hits, items: (n, hits, sorted(items)))
         rows = rows.filter((F.size("hits") > 0) if block else F.lit(True))
@@ -174,9 +174,30 @@ def contamination(
 
 def decontaminate(
     documents: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text",
+    max_windows: int = MAX_WINDOWS,
 ) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, all their columns unchanged."""
-    sent = documents.sparkSession.sparkContext.broadcast(_bounded(windows(benchmark, size)))
+    """The documents without any occurrence of a benchmark window, all their columns unchanged.
+
+    Of a benchmark with more than `max_windows` windows each block searches what the block
+    before has kept, written in between, so that no task holds the windows of two blocks.
+    """
+    found = windows(benchmark, size)
+    blocks = max(1, -(-found.count() // max_windows))
+    if blocks > 1:
+        found = cut_lineage(found, "windows")
+    for block in range(blocks):
+        documents = _clean(documents, _collected(_block(found, block, blocks)), text_col)
+        if block + 1 < blocks:
+            documents = cut_lineage(documents, "clean")
+    return documents
+
+
+def _block(found: DataFrame, block: int, blocks: int) -> DataFrame:
+    return found.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else found
+
+
+def _clean(documents: DataFrame, patterns: list, text_col: str) -> DataFrame:
+    sent = documents.sparkSession.sparkContext.broadcast(patterns)
     names, schema = documents.columns, documents.schema
 
     def keep(batches):
@@ -186,9 +207,3 @@ def decontaminate(
             yield batch.filter(clean).select(names)
 
     return documents.mapInArrow(keep, schema)
-
-
-def _bounded(found: DataFrame) -> list:
-    if (n := found.count()) > MAX_WINDOWS:
-        raise ValueError(f"{n} windows; filter by contamination(), which searches them in blocks")
-    return _collected(found)

@@ -174,6 +174,15 @@ def test_decontamination_blocks(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in expected if not r[5]}
 
 
+def test_decontaminate_in_blocks(spark):
+    items = spark.createDataFrame([(i, words(50 + i, 15)) for i in range(6)], "item_id long, text string")
+    texts = [*TEXTS, *[words(50 + i, 15) + f" x{i}" for i in range(6)]]
+    docs = table(spark, texts, [None, None, *range(2, len(texts))])
+    kept = decontaminate.decontaminate(docs, items, max_windows=7)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, *range(2, len(TEXTS))]
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit(score):
     rng = random.Random(3)
