@@ -107,6 +107,20 @@ def named_part(tag: str, attributes: str) -> bool:
     return False
 
 
+def names_itself(attributes: str) -> bool:
+    """Whether an article is hidden, or has a class or role that begins with such a name: a comment, a teaser."""
+    if HIDDEN.search(attributes):
+        return True
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        value, name = a or b or c, name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True
+        if name in ("class", "role") and any(
+                (found := WORD.findall(CAMEL.sub("-", v).lower())) and found[0] in NAMES for v in value.split()):
+            return True
+    return False
+
+
 def tokens(source: str) -> Page:
     """Words and tags of a page, with where they stand."""
     page, stack, block, at = Page(), [], 0, 0
@@ -125,11 +139,11 @@ def tokens(source: str) -> Page:
     def leave(upto: int) -> None:
         nonlocal dropped, links, headings, marks, block
         while len(stack) > upto:
-            name, drop = stack.pop()
+            name, drop, mark = stack.pop()
             dropped -= drop
             links -= name == "a"
             headings -= name in HEADING
-            marks -= name in ("article", "main")
+            marks -= mark
             block += name in BLOCK
 
     def close(names, scope=SCOPE) -> None:
@@ -177,14 +191,14 @@ def tokens(source: str) -> Page:
         if name in VOID or attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
         in_article = marks > 0
-        drop = name in DROPPED or name == "header" and not in_article or (
-            name not in ("html", "body", "article", "main") or in_article) and bool(attributes) and named_part(name, attributes)
-        if name in ("article", "main") and not drop:
-            page.marked = True
-            marks += 1
-        elif name in ("article", "main"):
-            marks += 1
-        stack.append((name, bool(drop)))
+        drop = name in DROPPED or name == "header" and not in_article or bool(attributes) and (
+            names_itself(attributes) if name in ("article", "main") and not in_article
+            else name not in ("html", "body") and named_part(name, attributes))
+        # An article in what is dropped, or one that names itself a comment, marks nothing.
+        mark = name in ("article", "main") and not drop and not dropped
+        page.marked |= mark
+        marks += mark
+        stack.append((name, bool(drop), mark))
         dropped += bool(drop)
         links += name == "a"
         headings += name in HEADING
@@ -199,6 +213,8 @@ def feature_counts(page: Page) -> dict[str, tuple[int, int]]:
             continue
         pair = out.setdefault(p.feature, [0, 0])
         pair[0 if p.inside and not p.dropped else 1] += p.words if p.words else 1
+        if page.marked and p.words and not p.inside and not p.dropped:
+            out.setdefault("word:outside", [0, 0])[1] += p.words
     return {k: (a, b) for k, (a, b) in out.items()}
 
 
@@ -239,7 +255,6 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     out["tag:block"] = max(out["tag:block"], -out["word"] / 2)
     out["tag:link"] = max(out["tag:link"], -out["word"] / 2)
     out["word:link"] = max(out["word:link"], -out["word"] / 4)
-    out["word:outside"] = PRIOR["word:outside"]
     return out
 
 
@@ -281,7 +296,7 @@ def main_text(source: str | None, weight: dict[str, float]) -> str:
     start, end = best_region(score(page, weight))
     blocks: dict[int, list[str]] = {}
     for p in page.pieces[start:end]:
-        if p.text and not p.dropped and (p.inside or not page.marked):
+        if p.text and not p.dropped:
             blocks.setdefault(p.block, []).append(p.text)
     return "\n\n".join(t for parts in blocks.values() if (t := " ".join("".join(parts).split())))
 

@@ -224,6 +224,24 @@ def test_main_text(marks):
     assert text == "A & B\n\nFirst para with a link é and more words.\n\nSecond para goes on."
 
 
+POST = "<p>A post of a few plain words here.</p><p>And a second one after it.</p>"
+
+
+@pytest.mark.parametrize("around", [
+    "%s<aside><article><p>Teaser words</p></article></aside>",
+    "%s<ol class=commentlist><li><article><p>I like it</p></article></ol>",
+    "%s<article class=comment><p>I like it</p></article>"])
+def test_articles_that_mark_nothing(around):
+    page = around % f'<div class="entry-content">{POST}</div>'
+    assert html_text.main_text(page, html_text.weights({})) == "A post of a few plain words here.\n\nAnd a second one after it."
+
+
+def test_words_outside_are_learned():
+    marked = html_text.feature_counts(html_text.tokens(f"<p>Not in it</p><article>{POST}</article>"))
+    assert marked["word:outside"] == (0, 3)
+    assert -2 < html_text.weights({"word": (20, 9000), "word:outside": (0, 300)})["word:outside"] < -1
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x <b"), (2, None, "")],
                                   "page_id long, url string, html string").withColumn("text", F.lit(1))
