@@ -47,7 +47,7 @@ SIBLINGS = {
     "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "tbody", "thead"),
 }
 SCOPE = frozenset("table article main section div ul ol dl body html aside nav footer header form td th".split())
-#: Words in class, id or role that name parts which are no article text.
+#: Words in class, id or role that speak against the text of a part.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer "
@@ -69,7 +69,7 @@ ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 SAMPLE_PAGES = 2000
 #: Scores of one word or tag before anything is learned, and how many tokens they count for.
 PRIOR = {
-    "word": 1.0, "word:link": -1.0, "word:heading": 0.6, "word:dropped": -1.0, "word:outside": -3.0,
+    "word": 1.0, "word:link": -1.0, "word:heading": 0.6, "word:dropped": -1.0, "word:outside": -3.0, "word:named": -1.0,
     "tag:text": -0.1, "tag:block": -0.4, "tag:link": -0.6, "tag:other": -0.8,
 }
 PRIOR_TOKENS, LARGEST = 200.0, 3.0
@@ -86,6 +86,8 @@ class Piece:
     block: int = 0
     inside: bool = False  # in an article or main element
     dropped: bool = False
+    part: int = -1  # the innermost named part around
+    named: float = 0.0  # how strongly names speak against it
 
 
 @dataclass
@@ -94,37 +96,51 @@ class Page:
     marked: bool = False
 
 
-def named_part(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it is no article text."""
-    if HIDDEN.search(attributes):
-        return True
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value, name = a or b or c, name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name != "aria-label" and any(w in NAMES for w in WORD.findall(CAMEL.sub("-", value).lower())):
-            return True
-    return False
+@dataclass
+class Part:
+    """An element whose class, id or role has words of NAMES."""
+
+    strength: float  # how much of a name such words are, 1 at most
+    plain: bool  # no name has other words as well
+    around: int  # the next such element around it, or -1
+    words: int = 0  # of running text
+    holds: bool = False  # an article that does not name itself so, or a main element
+
+
+def hidden(attributes: str) -> bool:
+    return bool(HIDDEN.search(attributes)) or any(
+        n.lower() == "hidden" or n.lower() == "aria-hidden" and (a or b or c).lower() == "true"
+        for n, a, b, c in ATTRIBUTE.findall(attributes))
+
+
+def names_of(tag: str, attributes: str) -> list[tuple[str, list[str]]]:
+    """(attribute, words) of each class, id and role. Ids of headings are made from their texts."""
+    found = [(n.lower(), a or b or c) for n, a, b, c in ATTRIBUTE.findall(attributes)]
+    return [(n, words) for n, value in found if n in ("class", "role", "id") and not (n == "id" and tag in HEADING)
+            for v in value.split() if (words := WORD.findall(CAMEL.sub("-", v).lower()))]
+
+
+def named_part(tag: str, attributes: str, around: int) -> Part | None:
+    """What an element's names say against its text. A class or role of two words needs one, an id both."""
+    strength, plain = 0.0, False
+    for name, words in names_of(tag, attributes):
+        share = sum(w in NAMES for w in words) / len(words)
+        strength = max(strength, share if name == "id" else min(1.0, 2 * share))
+        plain |= share == 1
+    return Part(strength, plain, around) if strength else None
 
 
 def names_itself(attributes: str) -> bool:
-    """Whether an article is hidden, or has a class or role that begins with such a name: a comment, a teaser."""
-    if HIDDEN.search(attributes):
-        return True
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value, name = a or b or c, name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "role") and any(
-                (found := WORD.findall(CAMEL.sub("-", v).lower())) and found[0] in NAMES for v in value.split()):
-            return True
-    return False
+    """Whether an article has a class or role that begins with such a name: a comment, a teaser."""
+    return any(words[0] in NAMES for name, words in names_of("article", attributes) if name != "id")
 
 
 def tokens(source: str) -> Page:
     """Words and tags of a page, with where they stand."""
     page, stack, block, at = Page(), [], 0, 0
-    pieces, marks = page.pieces, 0  # marks: open article and main elements
+    parts, part, articles, article = [], -1, [], -1
+    within: list[int] = []  # per piece, the innermost article
+    pieces = page.pieces
     dropped = links = headings = 0
     limit = len(source)
 
@@ -134,16 +150,16 @@ def tokens(source: str) -> Page:
         if not words and not raw:
             return
         kind = ("word:dropped" if dropped else "word:link" if links else "word:heading" if headings else "word")
-        pieces.append(Piece(kind, words, raw, block, marks > 0, dropped > 0))
+        pieces.append(Piece(kind, words, raw, block, False, dropped > 0, part))
+        within.append(article)
 
     def leave(upto: int) -> None:
-        nonlocal dropped, links, headings, marks, block
+        nonlocal dropped, links, headings, part, article, block
         while len(stack) > upto:
-            name, drop, mark = stack.pop()
+            name, drop, part, article = stack.pop()
             dropped -= drop
             links -= name == "a"
             headings -= name in HEADING
-            marks -= mark
             block += name in BLOCK
 
     def close(names, scope=SCOPE) -> None:
@@ -169,7 +185,8 @@ def tokens(source: str) -> Page:
         name = name.lower()
         group = "tag:text" if name in TEXT_TAGS else "tag:link" if name == "a" else (
             "tag:block" if name in BLOCK else "tag:other")
-        pieces.append(Piece(group, inside=marks > 0, dropped=dropped > 0 or name in DROPPED, block=block))
+        pieces.append(Piece(group, dropped=dropped > 0 or name in DROPPED, block=block, part=part))
+        within.append(article)
         if slash:
             if name == "p" and not any(s[0] == "p" for s in stack):
                 block += 1
@@ -184,34 +201,71 @@ def tokens(source: str) -> Page:
             close(("a",))
         block += name in BLOCK
         if name in SPACED:
-            pieces.append(Piece("word", 0, " ", block, marks > 0, dropped > 0))
+            pieces.append(Piece("word", 0, " ", block, False, dropped > 0, part))
+            within.append(article)
         if name in RAW:
             end = CLOSING[name].search(source, at)
             at = end.start() if end else limit
         if name in VOID or attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
-        in_article = marks > 0
-        drop = name in DROPPED or name == "header" and not in_article or bool(attributes) and (
-            names_itself(attributes) if name in ("article", "main") and not in_article
-            else name not in ("html", "body") and named_part(name, attributes))
-        # An article in what is dropped, or one that names itself a comment, marks nothing.
-        mark = name in ("article", "main") and not drop and not dropped
-        page.marked |= mark
-        marks += mark
-        stack.append((name, bool(drop), mark))
+        drop = name in DROPPED or name == "header" and article < 0 or bool(attributes) and hidden(attributes)
+        stack.append((name, bool(drop), part, article))
         dropped += bool(drop)
+        marking = name in ("article", "main")
+        if attributes and (names_itself(attributes) if marking else name not in ("html", "body")) and (
+                own := Part(1.0, True, part) if marking else named_part(name, attributes, part)):
+            parts.append(own)
+            part = len(parts) - 1
+        elif marking and not dropped:
+            i = part
+            while i >= 0:
+                parts[i].holds |= name == "main" or not parts[i].plain
+                i = parts[i].around
+        if marking and not dropped:
+            articles.append((article, part))
+            article = len(articles) - 1
         links += name == "a"
         headings += name in HEADING
+    settle(page, within, parts, articles)
     return page
 
 
+def settle(page: Page, within: list[int], parts: list[Part], articles: list[tuple[int, int]]) -> None:
+    """Tell what names speak against, and which pieces are in an article, once the page is known.
+
+    Names say nothing of a part that holds an article or most of the running text; of one whose
+    name is all of NAMES, such as a list of comments, only the latter counts, or a main element.
+    """
+    total = 0
+    for p in page.pieces:
+        if p.feature == "word":
+            total += p.words
+            if p.part >= 0:
+                parts[p.part].words += p.words
+    for part in reversed(parts):  # inner ones come later
+        if part.around >= 0:
+            parts[part.around].words += part.words
+    named = []
+    for part in parts:
+        own = 0.0 if part.holds or 2 * part.words > total else part.strength
+        named.append(max(own, named[part.around] if part.around >= 0 else 0.0))
+    marks = []
+    for around, part in articles:
+        # An article in what names speak against marks nothing.
+        marks.append(around >= 0 and marks[around] or part < 0 or named[part] < 1)
+    page.marked = any(marks)
+    for p, i in zip(page.pieces, within, strict=True):
+        p.inside = i >= 0 and marks[i]
+        p.named = named[p.part] if p.part >= 0 else 0.0
+
+
 def feature_counts(page: Page) -> dict[str, tuple[int, int]]:
     """Tokens of each feature inside and outside the page's own article."""
     out: dict[str, list[int]] = {}
     for p in page.pieces:
         if p.feature.startswith("word") and not p.words:
             continue
-        pair = out.setdefault(p.feature, [0, 0])
+        pair = out.setdefault("word:named" if p.named == 1 and p.words and not p.dropped else p.feature, [0, 0])
         pair[0 if p.inside and not p.dropped else 1] += p.words if p.words else 1
         if page.marked and p.words and not p.inside and not p.dropped:
             out.setdefault("word:outside", [0, 0])[1] += p.words
@@ -255,6 +309,8 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     out["tag:block"] = max(out["tag:block"], -out["word"] / 2)
     out["tag:link"] = max(out["tag:link"], -out["word"] / 2)
     out["word:link"] = max(out["word:link"], -out["word"] / 4)
+    # A name half of which speaks against its part must not outweigh the text.
+    out["word:named"] = max(out["word:named"], -out["word"])
     return out
 
 
@@ -270,6 +326,11 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return start, end
 
 
+def left_out(p: Piece, weight: dict[str, float]) -> bool:
+    """Whether a piece is no text of the article: dropped, or names speak more against it than words for it."""
+    return p.dropped or p.named > 0 and (1 - p.named) * weight["word"] + p.named * weight["word:named"] < 0
+
+
 def score(page: Page, weight: dict[str, float]) -> list[float]:
     """A page that marks its article is a label for itself: words elsewhere count against a region.
 
@@ -278,13 +339,13 @@ def score(page: Page, weight: dict[str, float]) -> list[float]:
     """
     out = []
     for p in page.pieces:
-        if p.dropped:
+        if left_out(p, weight):
             out.append(0.0 if p.inside else weight["word:dropped"] / 10 if p.words else -0.05)
         elif p.feature.startswith("word"):
             feature = p.feature if p.inside or not page.marked else "word:outside"
             # Inside a marked article a link is text.
             value = weight["word"] if p.inside and p.feature == "word:link" else weight[feature]
-            out.append(value * p.words)
+            out.append(((1 - p.named) * value + p.named * weight["word:named"]) * p.words)
         else:
             out.append(0.0 if p.inside else weight[p.feature])
     return out
@@ -296,7 +357,7 @@ def main_text(source: str | None, weight: dict[str, float]) -> str:
     start, end = best_region(score(page, weight))
     blocks: dict[int, list[str]] = {}
     for p in page.pieces[start:end]:
-        if p.text and not p.dropped:
+        if p.text and not left_out(p, weight):
             blocks.setdefault(p.block, []).append(p.text)
     return "\n\n".join(t for parts in blocks.values() if (t := " ".join("".join(parts).split())))
 

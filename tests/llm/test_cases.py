@@ -236,6 +236,21 @@ def test_articles_that_mark_nothing(around):
     assert html_text.main_text(page, html_text.weights({})) == "A post of a few plain words here.\n\nAnd a second one after it."
 
 
+@pytest.mark.parametrize("around", [
+    '<div class="content-sidebar-wrap">%s</div>', '<div class="layout with-sidebar"><article>%s</article></div>',
+    '<div class="layout with-sidebar"><article>%s</article><div class="sidebar"><p>Side</p></div></div>',
+    '<body class="has-header"><div id=form>%s</div>'])
+def test_wrappers_with_names(around):
+    assert html_text.main_text(around % POST, html_text.weights({})) == "A post of a few plain words here.\n\nAnd a second one after it."
+
+
+@pytest.mark.parametrize("marks", [("<article>", "</article>"), ("<div>", "</div>")])
+def test_slug_ids(marks):
+    parts = '<h2 id="related-work">Related work</h2><p>Others did so.</p><section id="search-and-sort"><p>Sort, then search.</p></section>'
+    text = html_text.main_text(marks[0] + POST * 2 + parts + "<div class=related><p>More to read</p></div>" + marks[1], html_text.weights({}))
+    assert text.endswith("Related work\n\nOthers did so.\n\nSort, then search.")
+
+
 def test_words_outside_are_learned():
     marked = html_text.feature_counts(html_text.tokens(f"<p>Not in it</p><article>{POST}</article>"))
     assert marked["word:outside"] == (0, 3)
