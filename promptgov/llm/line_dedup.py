@@ -10,7 +10,8 @@ the lines does not matter).
 
 Equal lines are one class from the start: a line that a third of all documents repeat is one
 entry of the index. A line goes if an equal line or one within the distance comes earlier, in
-the order of (id, line number). Lines shorter than `least` code points always stay.
+the order of (id, line number). `every_line` compares all lines that are not blank, `line_join` those of
+`least` code points or more, and `drop_lines` spares the shorter ones.
 
 Only built-in expressions are used.
 
@@ -190,15 +191,43 @@ def line_join(
     """
     lines = lines_of(documents, id_col, text_col, least)
     classes = cut_lineage(line_classes(lines, edits), "line-classes")
-    links = line_links(lines, classes, edits)
+    return fates(lines, classes, line_links(lines, classes, edits), id_col).drop("copies")
+
+
+def fates(lines: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     firsts = classes.select(F.col("a").alias("v"), F.col("first").alias("other"))
     linked = links.join(firsts, "v").groupBy("u").agg(
         F.count(F.lit(1)).alias("n_links"), F.min("other").alias("other"))
-    known = classes.select("a", "b", "first").join(linked, F.col("a") == F.col("u"), "left").select(
-        "a", "b", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("first", "other").alias("earliest"))
+    known = classes.select("a", "b", "copies", "first").join(linked, F.col("a") == F.col("u"), "left").select(
+        "a", "b", "copies", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.least("first", "other").alias("earliest"))
     return lines.drop("line", "size").join(known, ["a", "b"]).select(
         F.col("id").alias(id_col), F.col("no").alias("line_no"), F.col("first.id").alias("class_doc_id"),
-        F.col("first.no").alias("class_line_no"), "n_links", (F.struct("id", "no") > F.col("earliest")).alias("removed"))
+        F.col("first.no").alias("class_line_no"), "copies", "n_links",
+        (F.struct("id", "no") > F.col("earliest")).alias("removed"))
+
+
+def every_line(
+    documents: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row per line that is not blank, with its class, its number of copies, links and fate.
+
+    The edits allowed fall with the length: `edits` between lines of at least `least` code points,
+    half as many from half that length on, none below, where a class is all there is.
+    """
+    lines = lines_of(documents, id_col, text_col, 1).filter(F.col("line").rlike(r"\S"))
+    classes = cut_lineage(lines.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "no")).alias("first")), "all-classes")
+    # A line of just `least` code points meets shorter ones with their edits, too.
+    long_, middle = lines.filter(F.col("size") >= least), lines.filter(F.col("size").between(least // 2, least))
+    links = None
+    for some, allowed in ((long_, edits), (middle, edits // 2)):
+        if allowed:
+            near = line_links(some, cut_lineage(line_classes(some, allowed), "line-classes"), allowed)
+            links = near if links is None else links.unionByName(near).distinct()
+    if links is None:
+        links = classes.select(F.col("a").alias("u"), F.col("a").alias("v")).filter("false")
+    return fates(lines, classes, links, id_col)
 
 
 def drop_lines(

@@ -31,7 +31,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_join(read(spark, sf_dir, "documents"), edits=2, least=40)
+    return line_dedup.every_line(read(spark, sf_dir, "documents"), edits=2, least=40)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,26 @@ def test_line_join(spark):
     assert line_dedup.line_join(table(spark, [])).count() == 0
 
 
+def test_every_line(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in [5] * 4 + [19, 20, 25, 38, 39, 40, 41, 60] * 2]
+    lines = base + [edited(rng, b) for b in base for _ in range(3)] + base[:6] + ["Menu", "Menu", "Menus"]
+    rng.shuffle(lines)
+    at = {(i // 4, i % 4): line for i, line in enumerate(lines)}
+    docs = table(spark, ["\n".join([*lines[i:i + 4], " ", ""]) for i in range(0, len(lines), 4)] + [None, ""])
+    allowed = lambda n: 2 if n >= 40 else 1 if n >= 20 else 0
+    expected = []
+    for place, line in at.items():
+        if not line.strip():
+            continue
+        same = [p for p, x in at.items() if x == line]
+        near = {x for x in at.values() if x != line and distance(x, line) <= min(allowed(len(x)), allowed(len(line)))}
+        earliest = min(p for p, x in at.items() if x == line or x in near)
+        expected.append((*place, *min(same), len(same), len(near), place > earliest))
+    assert sorted(map(tuple, line_dedup.every_line(docs).collect())) == sorted(expected)
+    assert any(at[r[:2]] == "Menu" and r[-1] for r in expected)
+
+
 def test_dropped_lines_of_null_and_repeated_ids(spark):
     long_ = [f"line number {i} {words(80 + i, 12)}" for i in range(6)]
     rows = [(None, [0, 1]), (None, [2, 0]), (7, [3, 4]), (7, [5, 3]), (9, [1, 5]), (9, [1, 5])]
