@@ -76,9 +76,61 @@ def ownership() -> str:
         FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 
+def divergence(least: int = 3, top: int = 200) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    share = "1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY {by}) + v)"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'),
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+                   FROM documents),
+        u AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term FROM (SELECT DISTINCT i, lang, term FROM u) GROUP BY ALL HAVING count(*) >= {least}),
+        v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM u JOIN k USING (lang, term) GROUP BY ALL),
+        f AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n, v
+              FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS (SELECT lang, source, term, n, {share.format(by='lang, source')} AS p FROM f),
+        q AS (SELECT lang, term, {share.format(by='lang')} AS q
+              FROM (SELECT lang, term, v, sum(n)::HUGEINT AS n FROM f GROUP BY ALL)),
+        a AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+              FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+              FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+              LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+              UNION ALL
+              SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT
+              FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= {top}"""
+
+
+def negatives() -> str:
+    return """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(
+                       embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same,
+                     list_dot_product(a.v, b.v)::BIGINT AS score
+              FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor, other AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor AS anchor_id, positive_id,
+               row_number() OVER (PARTITION BY p.anchor, positive_id ORDER BY score DESC, other)::INT AS rank,
+               other AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.anchor = s.anchor AND NOT same
+             AND score * 100 BETWEEN 50 * positive_score AND 95 * positive_score
+        QUALIFY rank <= 3"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op3_warc": warc(),
         "op7_quality_cascade": quality(),
         "op9_secret_ownership": ownership(),
+        "op11_source_divergence": divergence(),
+        "op12_hard_negatives": negatives(),
     }

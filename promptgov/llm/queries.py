@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptgov.llm import (
-    decontaminate, html_text, line_dedup, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, warc,
+    decontaminate, hard_negatives, html_text, line_dedup, pack, quality, secrets, simhash, source_audit, substring_dedup,
+    suffix_dedup, token_counts, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(read(spark, sf_dir, "documents"), least=3, top=200)
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels are wrong on purpose: the contract moves those of every seventh id."""
+    rows = read(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 50 == 0, scale=256, positives=5, negatives=3)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), path, limit=512)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_main_text": op1,
@@ -75,4 +94,7 @@ def queries() -> dict[str, Query]:
         "op8_wu_manber": op8,
         "op9_secret_ownership": op9,
         "op10_covering_simhash": op10,
+        "op11_source_divergence": op11,
+        "op12_hard_negatives": op12,
+        "op13_token_counts": op13,
     }
