@@ -16,6 +16,8 @@ are packed once each; other columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import json
+import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -46,13 +48,26 @@ class Capacity:
     cost: int = 1024 * 1024
 
 
-def byte_bpe(path: str, end: int = 2) -> Callable[[], Callable[[str], np.ndarray]]:
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file, which stand for themselves wherever a text holds them."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError(f"{path} has added tokens that depend on what is around them")
+    return {t["content"]: t["id"] for t in added}
+
+
+def byte_bpe(path: str, end: int = 2, added: dict[str, int] | None = None) -> Callable[[], Callable[[str], np.ndarray]]:
     """Ids of a text under a byte-level BPE rank file, with the end token.
 
     The pattern never joins a character to the space after it, so the ids of a text are those
     of its words, each with the space before it; a task remembers the words it has met. Texts
-    with runs of white space are encoded whole.
+    with runs of white space are encoded whole. `added` tokens inside a text are one id each, and
+    what is between them is encoded by itself.
     """
+    added = added or {}
+    strings = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
+
     def load():
         import base64
 
@@ -63,11 +78,12 @@ def byte_bpe(path: str, end: int = 2) -> Callable[[], Callable[[str], np.ndarray
         encode = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         known: dict[str, list[int]] = {}
+        cut = re.compile(f"({strings})") if strings else None
 
-        def ids(text: str) -> np.ndarray:
+        def plain(text: str) -> list[int]:
             first, *parts = text.split(" ")
             if any(not p or p[0].isspace() for p in parts):
-                return np.array([*encode(text), end], "<u4")
+                return encode(text)
             out = encode(first)
             for part in parts:
                 found = known.get(part)
@@ -78,8 +94,14 @@ def byte_bpe(path: str, end: int = 2) -> Callable[[], Callable[[str], np.ndarray
                     if len(part) < 64:
                         known[part] = found
                 out += found
-            out.append(end)
-            return np.array(out, "<u4")
+            return out
+
+        def ids(text: str) -> np.ndarray:
+            segments = cut.split(text) if cut else [text]
+            out = plain(segments[0])
+            for token, segment in zip(segments[1::2], segments[2::2], strict=True):
+                out += [added[token], *plain(segment)]
+            return np.array([*out, end], "<u4")
         return ids
     return load
 

@@ -42,7 +42,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    tokenizer = pack.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), end=2)
+    added = pack.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = pack.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), end=2, added=added)
     pieces = pack.pieces(read(spark, sf_dir, "documents"), tokenizer, size=1024)
     return pack.pack(pieces, pack.Capacity(), "norm", "doc_id", "piece")
 

@@ -70,7 +70,6 @@ def test_packing(spark, documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     expected = []
     for i, text in documents:
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
