@@ -13,8 +13,8 @@ so each point links its (at most 65, for radius 2) fingerprints to the least of
 
 Defined results: null, empty and wordless texts have fingerprint zero; equal fingerprints are
 one class, so copies are never paired; rows with a null id take part, and a component whose
-ids are all null has a null component_id; repeated rows stay repeated; other columns are not
-read.
+ids are all null has a null component_id; repeated rows stay repeated; texts of any length are read whole,
+STRETCH shingles at a time; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -110,15 +110,24 @@ def near_duplicates(
 def one_of_each(
     documents: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The documents that are the first of their component; columns unchanged.
+    """One row of each component; columns unchanged.
 
-    Of rows that share the first id, one stays. Rows whose whole component has no id all
-    stay, as none of them can be named.
+    It is the row with the least id; rows without an id come last, and of rows with one id that
+    whose text has the lowest hash. Rows are numbered and written first, as ids may be null or
+    repeated, so of equal rows one stays, too.
     """
     names = documents.columns
-    labels = near_duplicates(documents, shingle, radius, id_col, text_col)
-    firsts = labels.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
-    kept = documents.join(firsts, F.col(id_col) == F.col("__first"), "left_semi")
-    once = kept.dropDuplicates([id_col])
-    unnamed = documents.filter(F.col(id_col).isNull())
-    return once.unionByName(unnamed).select(names)
+    row, key = (unused(names, n) for n in ("__row", "__key"))
+    rows = cut_lineage(documents.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    place = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"),
+                     F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(row).alias("row"))
+    labels = near_duplicates(rows.select(place.alias(key), F.col(text_col).alias("text")), shingle, radius, key, "text")
+    firsts = labels.filter(F.col(key) == F.col("component_id")).select(F.col(key)["row"].alias(row))
+    return rows.join(firsts, row, "left_semi").select(names)
+
+
+def unused(names: list[str], name: str) -> str:
+    """The name, lengthened until no column has it."""
+    while name in names:
+        name += "_"
+    return name

@@ -56,7 +56,19 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == {(None, 0), (7, 40)}
     labels = simhash.near_duplicates(docs).collect()
     assert {r.component_id for r in labels} == {7}
-    assert simhash.one_of_each(docs).count() == 2  # one named row, and the one without id
+    assert [r.doc_id for r in simhash.one_of_each(docs).collect()] == [7]
+
+
+def test_one_of_each(spark):
+    """Null and repeated ids, equal rows, a component without ids, clashing names."""
+    texts = [words(60, 50), words(61, 50), words(62, 50), words(63, 50)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (8, texts[2]), (9, texts[3]), (None, None), (3, "")]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("__row", F.lit("x")).withColumn("fp", F.lit(1))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == sorted(
+        [(0, texts[0]), (7, texts[1]), (7, texts[2]), (9, texts[3]), (3, "")])
+    assert simhash.one_of_each(docs.filter("false")).count() == 0 and simhash.near_duplicates(docs.filter("false")).count() == 0
 
 
 def test_covering_masks():
@@ -222,6 +234,21 @@ def test_best_fit(score):
     assert sum(map(len, held.values())) == 3000
 
 
+def test_ids_are_the_library_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    added = pack.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert added == {"<|endoftext|>": 50256}
+    ids = pack.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), 2, added)()
+    rng = random.Random(7)
+    parts = ["a", " ", "<|endoftext|>", "<|endoftext", "|>", "\n", "é", " b", "  ", "1", "\u3000", "word "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    for text in texts:
+        assert ids(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_packing_empty(spark):
     import public_tokenizers
 
