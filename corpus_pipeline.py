@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from promptgov.llm import decontaminate as contamination
-from promptgov.llm import line_dedup, near_copies, pack, quality
+from promptgov.llm import line_dedup, pack, quality, simhash
 from promptgov.llm.common import cut_lineage
 
 
@@ -23,8 +23,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates, by exact similarity of five-word shingles."""
-    return near_copies.one_of_each(docs)
+    """The first document of each group whose SimHashes of three-word shingles link at two bits."""
+    return simhash.one_of_each(docs, shingle=3, radius=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token pieces with their places in training sequences."""
     import public_tokenizers
 
-    tokenizer = pack.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), end=2)
+    added = pack.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = pack.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), end=2, added=added)
     return pack.pack(pack.pieces(docs, tokenizer), pack.Capacity(), "norm", "doc_id", "piece")
 
 
