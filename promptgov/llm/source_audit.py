@@ -41,7 +41,7 @@ STRETCH, ENTRIES = 1 << 20, 500_000
 #: Terms and bytes of one shard; bytes of hashes sent at once; slots counted at once in a task.
 SHARD_TERMS, SHARD_BYTES, ROUND_BYTES, SLOTS = 1 << 16, 4 << 20, 32 << 20, 8 << 20
 #: Frequencies compared at once.
-CELLS = 1 << 20
+CELLS = 1 << 17
 
 
 def terms(text: bytes) -> Iterator[list[bytes]]:
