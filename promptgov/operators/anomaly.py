@@ -58,13 +58,17 @@ def anomaly_columns(length: Column, count: Column, total: Column, squares: Colum
 def prompt_anomaly(
     prompts: DataFrame, min_samples: int, *, tenant: str = "tenant", ts: str = "ts",
     order: str = "request_id", prompt: str = "prompt",
-) -> DataFrame:
+    before: DataFrame | None = None, with_totals: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """One row per prompt with its verdict, over the tenant's prompts up to and with it.
 
     The running sums are built in two levels: the prompts in order of tenant and time are
     cut into chunks of about equal size; the sums run within each chunk of a tenant, plus
     the totals of the tenant's chunks before. So no task sees a whole large tenant, and
     only the lengths are shuffled.
+
+    `before` holds the sums of earlier prompts per tenant: tenant, n, total, squares. With `with_totals`
+    those of the prompts given are returned as well, so that a history may be judged in parts.
     """
     length = F.coalesce(F.octet_length(prompt), F.lit(0)).cast("long")
     sized = prompts.select(
@@ -85,20 +89,29 @@ def prompt_anomaly(
     local = sized.select("*", *[total.over(so_far).alias(c) for c, total in sums.items()])
     # A row per tenant and chunk; most tenants have one chunk.
     totals = sized.groupBy(tenant, "__chunk").agg(*[total.alias(c) for c, total in sums.items()])
-    before = (
+    chunks_before = (
         Window.partitionBy(tenant).orderBy("__chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = totals.select(
         tenant, "__chunk",
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums],
+        *[F.coalesce(F.sum(c).over(chunks_before), F.lit(0)).alias(f"{c}_before") for c in sums],
     )
+    if before is not None:
+        earlier = before.select(
+            F.col("tenant").alias(tenant), F.col("n").alias("__n0"), F.col("total").alias("__sum0"), F.col("squares").alias("__squares0"))
+        carried = carried.join(earlier, tenant, "left").select(
+            tenant, "__chunk", *[(F.col(f"{c}_before") + F.coalesce(f"{c}0", F.lit(0))).alias(f"{c}_before") for c in sums])
     joined = local.join(carried, [tenant, "__chunk"])
     n, total, squares = (F.col(c) + F.col(f"{c}_before") for c in ("__n", "__sum", "__squares"))
-    return joined.select(
+    found = joined.select(
         order, tenant, n.alias("__n"), total.alias("__sum"), squares.alias("__squares"), "__length"
     ).select(order, tenant, *anomaly_columns(
         F.col("__length"), F.col("__n"), F.col("__sum"), F.col("__squares"), min_samples))
+    if not with_totals:
+        return found
+    return found, totals.groupBy(F.col(tenant).alias("tenant")).agg(
+        F.sum("__n").alias("n"), F.sum("__sum").alias("total"), F.sum("__squares").cast("decimal(38,0)").alias("squares"))
 
 
 def tenant_profile(prompts: DataFrame, *, tenant: str = "tenant", prompt: str = "prompt") -> DataFrame:

@@ -19,8 +19,10 @@ import pyarrow as pa
 MINUTE = 60_000_000
 NEVER = -(1 << 62)
 
-# Row kinds, in the order they sort in front of each other within a chunk.
-ENTRY, ASK, RESET, EXEMPT = 0, 1, 2, 3
+# Row kinds. ENTRY says what a chunk starts from, SET what a tenant does.
+ENTRY, ASK, RESET, EXEMPT, SET = 0, 1, 2, 3, 4
+# Stands for the end of time.
+ALWAYS = 1 << 62
 # Stands for the chunk in rows that lead a group of chunks.
 LEAD = -1
 
@@ -70,7 +72,8 @@ class _FillChunk:
     last refill. Every row in the chunk's first minute may be the first to refill,
     depending on the refill before; each is followed as a path, and paths that meet
     are joined. `upto[i]` is the latest earlier refill that starts path i. No refill
-    before the chunk is later than `start`, the time of its first row.
+    before the chunk is later than `start`: the time of its first row, or ALWAYS where a
+    tenant may have a refill later than its rows.
     """
 
     def __init__(self, start):
@@ -98,12 +101,13 @@ class _FillChunk:
             due.append(self._new_path(limit))
         self._join(due, us)
 
-    def reset(self):
+    def reset(self, fill=NEVER):
+        """From here on `fill` is the last refill, whatever came before."""
         paths = list(self.queue)
         self.queue.clear()
         if not self.upto or self.upto[-1] < self.start:
             paths.append(self._new_path(self.start))
-        self._join(paths, NEVER)
+        self._join(paths, fill)
 
     def _join(self, paths, at):
         if paths:
@@ -120,24 +124,27 @@ class _FillChunk:
                 yield upto, end
 
 
-def fill_maps(batches):
-    """(tenant, chunk, us, kind), sorted -> the pieces of each chunk's refill function."""
+def fill_maps(late):
+    """(tenant, chunk, us, kind, since), sorted -> the pieces of each chunk's refill function.
 
-    def rows():
+    `late` tells that a tenant may start from a refill later than its rows.
+    """
+
+    def rows(batches):
         key, state = None, None
-        for tenant, chunk, us, kind in _rows(batches, "__tenant", "__chunk", "__us", "__kind"):
+        for tenant, chunk, us, kind, since in _rows(batches, "__tenant", "__chunk", "__us", "__kind", "__since"):
             if key != (tenant, chunk):
                 if state:
                     yield from ((*key, *piece) for piece in state.pieces())
-                key, state = (tenant, chunk), _FillChunk(us)
-            if kind == RESET:
-                state.reset()
-            else:
+                key, state = (tenant, chunk), _FillChunk(ALWAYS if late else us)
+            if kind == ASK:
                 state.ask(us)
+            else:
+                state.reset(since if kind == SET else NEVER)
         if state:
             yield from ((*key, *piece) for piece in state.pieces())
 
-    return _emit(rows(), FILL_MAP)
+    return lambda batches: _emit(rows(batches), FILL_MAP)
 
 
 FILL_ENTRY = pa.schema([
@@ -225,8 +232,7 @@ class _BalanceChunk:
     """
 
     def __init__(self, fill, rate, capacity):
-        self.fill, self.entry_fill = fill, fill
-        self.rate, self.capacity = rate, capacity
+        self.fill, self.rate, self.capacity = fill, rate, capacity
         self.single = 0 if capacity == 0 else None
         self.upto, self.which = np.array([capacity]), np.array([0])
         self.lows, self.sizes = np.array([0]), np.array([capacity])
@@ -247,6 +253,9 @@ class _BalanceChunk:
     def reset(self):
         self.fill, self.single = NEVER, self.capacity
 
+    def set(self, fill, balance):
+        self.fill, self.single = fill, min(balance, self.capacity)
+
     def _refill(self, added):
         if self.single is not None:
             self.single = min(self.capacity, self.single + added)
@@ -314,29 +323,37 @@ def _joined(pieces):
     return out
 
 
-def balance_maps(rate, capacity):
-    """(tenant, chunk, us, kind, ask, fill), sorted, each chunk led by its ENTRY row
-    -> the pieces of each chunk's balance function."""
+def balance_maps(batches):
+    """(tenant, chunk, us, kind, ask, since, fill, rate, capacity), sorted, each chunk led by its ENTRY
+    row -> the pieces of each chunk's balance function.
 
-    def rows(batches):
-        key, state = None, None
+    Rate and capacity are those of the chunk's first row: they belong to the tenant.
+    """
+
+    def rows():
+        key, fill, state = None, None, None
         for batch in batches:
             tenants, chunks = batch.column("__tenant"), batch.column("__chunk")
-            columns = (_values(batch.column(n)) for n in ("__us", "__kind", "__ask", "__fill"))
-            for i, (us, kind, tokens, fill) in enumerate(zip(*columns)):
+            rates, capacities = batch.column("__rate"), batch.column("__capacity")
+            columns = (_values(batch.column(n)) for n in ("__us", "__kind", "__ask", "__since", "__fill"))
+            for i, (us, kind, tokens, since, entry_fill) in enumerate(zip(*columns)):
+                if kind == ENTRY:
+                    if state:
+                        yield from ((*key, fill, *piece) for piece in state.pieces())
+                    key, fill, state = (tenants[i].as_py(), chunks[i].as_py()), entry_fill, None
+                    continue
+                if state is None:
+                    state = _BalanceChunk(fill, rates[i].as_py(), capacities[i].as_py())
                 if kind == ASK:
                     state.ask(us, tokens)
-                elif kind == RESET:
-                    state.reset()
+                elif kind == SET:
+                    state.set(since, tokens)
                 else:
-                    if state:
-                        yield from ((*key, state.entry_fill, *piece) for piece in state.pieces())
-                    key = (tenants[i].as_py(), chunks[i].as_py())
-                    state = _BalanceChunk(fill, rate, capacity)
+                    state.reset()
         if state:
-            yield from ((*key, state.entry_fill, *piece) for piece in state.pieces())
+            yield from ((*key, fill, *piece) for piece in state.pieces())
 
-    return lambda batches: _emit(rows(batches), BALANCE_MAP)
+    return _emit(rows(), BALANCE_MAP)
 
 
 ENTRIES = pa.schema([
@@ -349,24 +366,25 @@ def _balance_after(pieces, balance):
     return end - slope * (upto - balance)
 
 
-def balance_entries(capacity):
+def balance_entries(batches):
     """Pieces sorted by (tenant, group, chunk, upto) -> refill time and balance at each start.
 
-    A group may be led by a row with chunk LEAD that holds the balance it starts from.
+    A group may be led by a row with chunk LEAD that holds the balance it starts from; without one
+    the bucket is full: the last piece ends at its capacity.
     """
 
-    def rows(batches):
-        group_now, balance = None, capacity
+    def rows():
+        group_now, balance = None, None
         for tenant, group, chunk, found in _functions(batches, "__fill", "__upto", "__balance", "__slope"):
             if (tenant, group) != group_now:
-                group_now, balance = (tenant, group), capacity
+                group_now, balance = (tenant, group), found[-1][1]
             if chunk == LEAD:
                 balance = found[0][2]
                 continue
             yield tenant, chunk, found[0][0], balance
             balance = _balance_after([p[1:] for p in found], balance)
 
-    return lambda batches: _emit(rows(batches), ENTRIES)
+    return _emit(rows(), ENTRIES)
 
 
 def _balance_through(whole, pieces):
@@ -416,40 +434,46 @@ def step(fill, balance, us, tokens, rate, capacity):
     return fill, balance, False
 
 
-def decide(rate, capacity, keep):
-    """Sorted rows -> the columns `keep` with `allowed` and `remaining`. An ENTRY row, which is
-    not returned, says what a tenant's chunk starts from; without one the bucket is new."""
+def decide(keep, state):
+    """Sorted rows -> the columns `keep` with `allowed`, `remaining` and, if `state` names one, a column of
+    the last refill. ENTRY and SET rows, which are not returned, say what a tenant's chunk and
+    a tenant start from; without them the bucket is new."""
 
     def run(batches):
-        tenant_now, fill, balance = None, NEVER, capacity
+        tenant_now, fill, balance = None, NEVER, 0
         for batch in batches:
-            allowed, remaining, mask = [], [], []
-            names = ("__us", "__kind", "__ask", "__fill", "__balance")
+            allowed, remaining, filled, mask = [], [], [], []
+            names = ("__us", "__kind", "__ask", "__since", "__rate", "__capacity", "__fill", "__balance")
             columns = (_values(batch.column(n)) for n in names)
             tenants = _values(batch.column("__tenant").fill_null(""))
-            for tenant, us, kind, tokens, entry_fill, entry_balance in zip(tenants, *columns):
-                mask.append(kind != ENTRY)
+            for tenant, us, kind, tokens, since, rate, capacity, entry_fill, entry_balance in zip(tenants, *columns):
+                mask.append(kind != ENTRY and kind != SET)
+                if kind == ENTRY:
+                    tenant_now, fill, balance = tenant, entry_fill, entry_balance
+                    continue
                 if tenant != tenant_now and kind != EXEMPT:
                     tenant_now, fill, balance = tenant, NEVER, capacity
                 if kind == ASK:
                     fill, balance, ok = step(fill, balance, us, tokens, rate, capacity)
                     allowed.append(ok)
                     remaining.append(balance)
-                elif kind == ENTRY:
-                    fill, balance = entry_fill, entry_balance
+                    filled.append(fill)
+                elif kind == SET:
+                    fill, balance = since, min(tokens, capacity)
                 elif kind == RESET:
                     fill, balance = NEVER, capacity
                     allowed.append(None)
                     remaining.append(capacity)
+                    filled.append(NEVER)
                 else:
                     allowed.append(True)
                     remaining.append(None)
+                    filled.append(None)
             rows = batch.filter(pa.array(mask, pa.bool_()))
             if rows.num_rows:
+                own = [pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(filled, pa.int64())]
+                more = ["allowed", "remaining", state][:3 if state else 2]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(n) for n in keep]
-                    + [pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64())],
-                    names=[*keep, "allowed", "remaining"],
-                )
+                    [rows.column(n) for n in keep] + own[:len(more)], names=[*keep, *more])
 
     return run

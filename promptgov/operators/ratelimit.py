@@ -42,8 +42,8 @@ FAN = 16
 
 def token_bucket(
     asks: DataFrame,
-    rate: int,
-    capacity: int,
+    rate: int | Column,
+    capacity: int | Column,
     *,
     tenant: str = "tenant",
     ts: str = "ts",
@@ -51,6 +51,8 @@ def token_bucket(
     tokens: str = "tokens",
     reset: Column | None = None,
     exempt: Column | None = None,
+    state: DataFrame | None = None,
+    fill: str | None = None,
 ) -> DataFrame:
     """Add `allowed` and `remaining` (tokens left after the row) to every row.
 
@@ -59,11 +61,20 @@ def token_bucket(
     allowed and touches no bucket; a row without a time has no place in the order and is
     exempt too. The input is computed twice, to sample it and to cut
     it into chunks, so pass a written table if it is costly.
+
+    Rate and capacity may be columns that depend on the tenant alone; rows without a positive
+    rate and a capacity then have no limit and are exempt.
+
+    `state` holds what tenants start from, (tenant, fill, balance) as of earlier rows; the others
+    start full. `fill` names a column to add for the last refill after the row, in microseconds. With
+    both, a history may be decided in parts, and the rows of a part may be older than the last refill.
     """
-    if rate <= 0 or capacity < 0:
+    if not isinstance(rate, Column) and rate <= 0 or not isinstance(capacity, Column) and capacity < 0:
         raise ValueError("the rate must be positive and the capacity non-negative")
     keep = asks.columns
+    rate, capacity = (x.cast("long") if isinstance(x, Column) else F.lit(x).cast("long") for x in (rate, capacity))
     exempt = (F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)) | F.col(ts).isNull()
+    exempt = exempt | ~F.coalesce((rate > 0) & (capacity >= 0), F.lit(False))
     reset = F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False)
     rows = asks.select(
         *keep,
@@ -72,29 +83,53 @@ def token_bucket(
         F.col(order).alias("__order"),
         F.when(exempt, fold.EXEMPT).when(reset, fold.RESET).otherwise(fold.ASK).alias("__kind"),
         F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("__ask"),
+        F.lit(fold.NEVER).alias("__since"),
+        F.coalesce(rate, F.lit(0)).alias("__rate"), F.coalesce(capacity, F.lit(0)).alias("__capacity"),
     )
+    if state is not None:
+        rows = rows.unionByName(_set_rows(rows, state), allowMissingColumns=True)
     rows = in_chunks(rows, ["__tenant", *_TIME], "bucket")
     core = rows.filter(F.col("__kind") != fold.EXEMPT).select(
-        "__tenant", "__chunk", *_TIME, "__kind", "__ask")
+        "__tenant", "__chunk", *_TIME, "__kind", "__ask", "__since", "__rate", "__capacity")
     # At most one tenant per cut, so no more rows than there are tasks.
     core = core.join(F.broadcast(_cut_through(core)), "__tenant")
 
-    refills = _by_chunk(core, fold.fill_maps,
+    refills = _by_chunk(core, fold.fill_maps(state is not None),
                         "__tenant string, __chunk long, __upto long, __fill long")
     starts = _in_turn(refills, fold.fill_compose, fold.fill_entries, "__fill",
                       "__tenant string, __chunk long, __fill long")
 
-    balances = _by_chunk(_led_by(core, starts), fold.balance_maps(rate, capacity),
+    balances = _by_chunk(_led_by(core, starts), fold.balance_maps,
                          "__tenant string, __chunk long, __fill long, __upto long, "
                          "__balance long, __slope long")
-    starts = _in_turn(balances, fold.balance_compose, fold.balance_entries(capacity), "__balance",
+    starts = _in_turn(balances, fold.balance_compose, fold.balance_entries, "__balance",
                       "__tenant string, __chunk long, __fill long, __balance long")
 
+    more = ["remaining"] if fill is None else ["remaining", fill]
     out = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in asks.schema]
-        + [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType())]
+        [T.StructField(f.name, f.dataType) for f in asks.schema] + [T.StructField("allowed", T.BooleanType())]
+        + [T.StructField(name, T.LongType()) for name in more]
     )
-    return _by_chunk(_led_by(rows, starts), fold.decide(rate, capacity, keep), out)
+    return _by_chunk(_led_by(rows, starts), fold.decide(keep, fill), out)
+
+
+def _set_rows(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """A row in front of each tenant's own that says what it starts from."""
+    asking = rows.filter(F.col("__kind") != fold.EXEMPT).groupBy("__tenant").agg(
+        F.first("__rate").alias("__rate"), F.first("__capacity").alias("__capacity"))
+    known = state.select(
+        F.col("tenant").alias("__tenant"), F.col("fill").alias("__since"), F.col("balance").alias("__ask"))
+    return asking.join(known, "__tenant").select(
+        "*", F.lit(fold.NEVER + 1).alias("__us"), F.lit(fold.SET).alias("__kind"))
+
+
+def last_state(
+    decided: DataFrame, *, tenant: str = "tenant", ts: str = "ts", order: str = "request_id", fill: str = "fill",
+) -> DataFrame:
+    """(tenant, fill, balance) after the rows of a bucket that was asked for `fill`."""
+    last = decided.filter(F.col(fill).isNotNull()).groupBy(F.coalesce(tenant, F.lit("")).alias("tenant")).agg(
+        F.max_by(F.struct(F.col(fill).alias("fill"), F.col("remaining").alias("balance")), F.struct(ts, order)).alias("last"))
+    return last.select("tenant", "last.fill", "last.balance")
 
 
 def _by_chunk(rows: DataFrame, function, schema) -> DataFrame:
@@ -140,7 +175,8 @@ def _led_by(rows: DataFrame, starts: DataFrame) -> DataFrame:
     nulls in the columns of either."""
     state = [c for c in ("__fill", "__balance") if c in starts.columns]
     entries = starts.withColumns(
-        {"__us": F.lit(fold.NEVER), "__kind": F.lit(fold.ENTRY), "__ask": F.lit(0).cast("long")})
+        {"__us": F.lit(fold.NEVER), "__kind": F.lit(fold.ENTRY),
+         **{c: F.lit(0).cast("long") for c in ("__ask", "__since", "__rate", "__capacity")}})
     return rows.withColumns({c: F.lit(0).cast("long") for c in state}).unionByName(
         entries, allowMissingColumns=True)
 

@@ -239,6 +239,46 @@ SELECT request_id, tenant, outlier OR spike AS is_anomaly,
        CASE WHEN known THEN round(dev * 10) / 10 ELSE 0.0::DOUBLE END AS std_dev
 FROM flagged"""
 
+_LIMITS = ", ".join(f"({i}, {lit(r.tenant)}, {r.tokens_per_minute}, {r.requests_per_minute})"
+                    for i, r in enumerate(W.EVENT_LIMITS))
+LIMITED = f"""limits(ordinal, tenant, tpm, rpm) AS (VALUES {_LIMITS}),
+    limited AS (
+        SELECT event_type AS tenant, epoch_us(ts) AS us, event_id AS id, floor(value)::BIGINT AS ask, false AS is_reset,
+               coalesce(own, rest) AS l, epoch_us(ts) // 60000000 AS minute
+        FROM events LEFT JOIN (SELECT tenant, arg_min({{'tpm': tpm, 'rpm': rpm}}, ordinal) AS own FROM limits GROUP BY tenant) o
+             ON o.tenant = event_type,
+             (SELECT arg_min({{'tpm': tpm, 'rpm': rpm}}, (tenant <> '', ordinal)) AS rest FROM limits) r),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY tenant, minute ORDER BY us, id) AS number FROM limited)"""
+OWN_BUCKET = bucket("limited", "o.l.tpm", f"(o.l.tpm * {W.EVENT_BURST})").replace(
+    f"(o.l.tpm * {W.EVENT_BURST})::BIGINT AS remaining", "0::BIGINT AS remaining")
+
+_MODEL = f"{list(W.MODELS)!r}[event_id % {len(W.MODELS)} + 1]"
+SPENT = f"""usage AS (
+        SELECT event_id AS request_id, epoch_us(ts) AS us, date_trunc('month', ts)::DATE AS month, {_MODEL} AS model,
+               (CASE WHEN event_id % 3 = 0 THEN {W.HOT_TENANT} ELSE user_id END)::VARCHAR AS tenant,
+               floor(value)::BIGINT AS tokens
+        FROM events),
+    prices AS (
+        SELECT {list(W.MODELS[:-1])!r}[p_partkey % {len(W.MODELS) - 1} + 1] AS model,
+               ({W.BASE_SECOND} + p_partkey * 3600) * 1000000 AS since, round(p_retailprice * 100)::BIGINT AS nanos
+        FROM part),
+    budgets AS (
+        SELECT c_custkey::VARCHAR AS tenant, round(c_acctbal / 1000000 * 1000000000)::BIGINT AS limit_nanos,
+               CASE WHEN c_custkey % 104 > 0 THEN (round(c_acctbal / 1000000 * 1000000000)::BIGINT * (c_custkey % 104) + 99)
+                    // 100 END AS alert_nanos
+        FROM customer WHERE c_acctbal > 0 AND c_custkey % 104 <= 100),
+    costs AS (SELECT u.*, tokens * nanos AS cost_nanos
+              FROM usage u ASOF LEFT JOIN prices p ON u.model = p.model AND u.us >= p.since),
+    spent AS (
+        SELECT *, (sum(coalesce(cost_nanos, 0)) OVER (PARTITION BY tenant, month ORDER BY us, request_id))::BIGINT AS spend_nanos
+        FROM costs LEFT JOIN budgets USING (tenant))"""
+_STATUS = """CASE WHEN limit_nanos IS NULL THEN 'no_budget' WHEN spend_nanos > limit_nanos THEN 'exceeded'
+                  WHEN spend_nanos >= alert_nanos THEN 'alert' ELSE 'ok' END AS status"""
+_READABLE = [(i, r) for i, r in enumerate(W.ROUTES) if "about" not in r.condition]
+ROUTED = " ".join(
+    f"WHEN {r.condition.replace('&&', 'AND').replace('==', '=').replace('prompt_tokens', 't') or 'true'} THEN {{'i': {i}, 'm': {lit(r.model)}}}"
+    for i, r in _READABLE)
+
 # -- requests and decisions ---------------------------------------------------
 
 EMPTY = "[]::STRUCT(Rule VARCHAR, Severity VARCHAR, Message VARCHAR, Position INTEGER)[]"
@@ -461,6 +501,26 @@ def oracles() -> dict[str, str]:
             {bucket('asks', s.bucket_rate, s.bucket_capacity)}
             SELECT request_id, p.tenant, coalesce(allowed, true) AS allowed, remaining
             FROM prompts p LEFT JOIN decided ON id = request_id""",
+        "rpm_exceeded": f"""WITH {LIMITED} SELECT id AS request_id, tenant, minute, l.rpm::INTEGER AS requests_per_minute,
+            number, l.rpm > 0 AND number > l.rpm AS rpm_exceeded FROM numbered""",
+        "rpm_windows": f"""WITH {LIMITED} SELECT tenant, minute, count(*) AS requests, max(l.rpm)::INTEGER AS requests_per_minute,
+                count(*) - max(l.rpm) AS over
+            FROM numbered GROUP BY tenant, minute HAVING max(l.rpm) > 0 AND count(*) > max(l.rpm)""",
+        "own_limit_gate": f"""WITH RECURSIVE {LIMITED}, {OWN_BUCKET}
+            SELECT tenant, id AS request_id, allowed, remaining FROM decided""",
+        "running_spend": f"""WITH {SPENT} SELECT request_id, tenant, cost_nanos, spend_nanos, {_STATUS} FROM spent""",
+        "budget_status": f"""WITH {SPENT}, total AS (
+                SELECT tenant, month::VARCHAR AS month, count(*) AS requests, count(*) FILTER (cost_nanos IS NULL) AS unpriced,
+                       max(spend_nanos) AS spend_nanos, max(limit_nanos) AS limit_nanos, max(alert_nanos) AS alert_nanos,
+                       arg_min(request_id, (us, request_id)) FILTER (spend_nanos >= alert_nanos) AS alert_request,
+                       min(us) FILTER (spend_nanos >= alert_nanos) AS alert_ts,
+                       arg_min(request_id, (us, request_id)) FILTER (spend_nanos > limit_nanos) AS exceeded_request,
+                       min(us) FILTER (spend_nanos > limit_nanos) AS exceeded_ts
+                FROM spent GROUP BY tenant, month)
+            SELECT *, {_STATUS} FROM total""",
+        "route_model": f"""WITH {PROMPTS}, sized AS (SELECT request_id, (strlen(prompt) // 4)::INTEGER AS t FROM prompts),
+            routed AS (SELECT *, CASE {ROUTED} END AS r FROM sized)
+            SELECT request_id, t AS prompt_tokens, r.i::INTEGER AS rule, r.m AS model FROM routed""",
         "prompt_anomaly": ANOMALY,
         "tenant_profile": f"""WITH {PROMPTS}, sums AS (
                 SELECT tenant, count(*) AS n, sum(strlen(prompt)) AS total,

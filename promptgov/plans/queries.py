@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptgov.functions import checks, output, pii, text
-from promptgov.operators import anomaly, policy_rules, ratelimit, stats, verdicts
+from promptgov.operators import anomaly, budgets, limits, policy_rules, ratelimit, routing, stats, verdicts
+from promptgov.operators.clock import micros
 from promptgov.operators.gate import Gate, audit_events, block_response
 from promptgov.plans import workloads as W
 from promptgov.plans.lineage import task_count, work_dir
 from promptgov.sources.audit import fan_out, parquet_sink, with_json
+from promptgov.sources.policy import Policy
 from promptgov.sources.requests import parse_requests
 from promptgov.streaming.gate import stream_audit
 from promptgov.streaming.state import stream_prompt_anomaly, stream_token_bucket
@@ -113,6 +115,49 @@ def rate_limit_gate(spark, sf):
     return decided.select("request_id", "tenant", "allowed", "remaining")
 
 
+def minutes(df: DataFrame, column: str) -> Column:
+    """Whole minutes since 1970."""
+    return F.floor(micros(df, column) / limits.MINUTE).alias(column)
+
+
+def rpm_exceeded(spark, sf):
+    found = limits.requests_per_minute(W.asks(spark, sf), W.rate_limits(spark))
+    return found.withColumn("minute", minutes(found, "minute"))
+
+
+def rpm_windows(spark, sf):
+    windows = limits.exceeded_windows(limits.request_windows(W.asks(spark, sf)), W.rate_limits(spark))
+    return windows.withColumn("minute", minutes(windows, "minute"))
+
+
+def own_limit_gate(spark, sf):
+    decided = limits.own_token_bucket(W.asks(spark, sf), W.rate_limits(spark), burst_minutes=W.EVENT_BURST)
+    return decided.select(*DECIDED)
+
+
+def spending(status: DataFrame, *times: str) -> DataFrame:
+    """Money and times as whole numbers."""
+    money = [c for c in status.columns if c.endswith("_nanos")]
+    return status.withColumns({c: F.col(c).cast("long") for c in money} | {c: micros(status, c) for c in times})
+
+
+def budget_status(spark, sf):
+    status = budgets.budget_status(W.usage(spark, sf), W.budgets(spark, sf), W.prices(spark, sf))
+    return spending(status, "alert_ts", "exceeded_ts").withColumn("month", F.col("month").cast("string"))
+
+
+def running_spend(spark, sf):
+    spent = budgets.spend_by_request(W.usage(spark, sf), W.budgets(spark, sf), W.prices(spark, sf))
+    return spending(spent).select("request_id", "tenant", "cost_nanos", "spend_nanos", "status")
+
+
+def route_model(spark, sf):
+    prompts = W.sized_prompts(spark, sf).select(
+        "request_id", text.estimate_tokens(F.col("prompt")).alias("prompt_tokens"))
+    rules = Policy(routing_rules=W.ROUTES).tables(spark)["routing_rules"]
+    return routing.route(prompts, rules)
+
+
 def verdict_join(spark, sf):
     prompts = W.sized_prompts(spark, sf).select("request_id")
     joined = verdicts.join_verdicts(prompts, W.verdicts(spark, sf))
@@ -274,6 +319,12 @@ def queries() -> dict[str, Query]:
             spark, sf, reset=F.col("request_id") % 211 == 0).select(*DECIDED),
         "bucket_remaining": bucket_remaining,
         "rate_limit_gate": rate_limit_gate,
+        "rpm_exceeded": rpm_exceeded,
+        "rpm_windows": rpm_windows,
+        "own_limit_gate": own_limit_gate,
+        "budget_status": budget_status,
+        "running_spend": running_spend,
+        "route_model": route_model,
         "prompt_anomaly": lambda spark, sf: anomaly.prompt_anomaly(W.sized_prompts(spark, sf), W.MIN_SAMPLES),
         "tenant_profile": lambda spark, sf: anomaly.tenant_profile(W.sized_prompts(spark, sf)),
         "verdict_join": verdict_join,

@@ -26,10 +26,15 @@ def run(spark, rows, rate, capacity):
     return [(r.allowed, r.remaining) for r in out.orderBy("request_id").collect()]
 
 
-def one_by_one(rows, rate, capacity):
-    """The same in plain Python: one bucket per tenant, one row at a time."""
-    state, out = {}, {}
+def one_by_one(rows, rate, capacity, start=(), limits=None):
+    """The same in plain Python: one bucket per tenant, one row at a time.
+
+    `start` has (tokens, seconds of the last refill) per tenant, `limits` (rate, capacity).
+    """
+    state, out = dict(start), {}
     for i, (tenant, seconds, ask) in sorted(enumerate(rows), key=lambda r: (r[1][1], r[0])):
+        if limits:
+            rate, capacity = limits[tenant]
         if ask == "reset":
             state.pop(tenant, None)
             out[i] = (None, capacity)
@@ -80,7 +85,7 @@ def test_one_hot_instant(spark):
     assert got == one_by_one(rows, 50, 4000)
 
 
-def chunked(rows, size, rate, capacity, fan=3):
+def chunked(rows, size, rate, capacity, fan=3, start=(), limits=None):
     """All five steps on Arrow batches, with chunks of `size` rows, `fan` functions at a time."""
     import pyarrow as pa
 
@@ -106,18 +111,20 @@ def chunked(rows, size, rate, capacity, fan=3):
         return [tuple(r.values()) for b in batches for r in b.to_pylist()]
 
     ordered = sorted((t, int(s * 1e6), i, a) for i, (t, s, a) in enumerate(rows))
-    core = [(t, n // size, us, i, fold.RESET if a == "reset" else fold.ASK, 0 if a == "reset" else a)
-            for n, (t, us, i, a) in enumerate(ordered)]
-    names = ["__tenant", "__chunk", "__us", "__order", "__kind", "__ask", "__fill", "__balance"]
-    pieces = tuples(fold.fill_maps(batch(core, names[:6])))
+    of = limits or {t: (rate, capacity) for t, *_ in rows}
+    asked = [(t, us, i, fold.RESET if a == "reset" else fold.ASK, 0 if a == "reset" else a, 0) for t, us, i, a in ordered]
+    begun = [(t, fold.NEVER + 1, -1, fold.SET, left, int(since * 1e6)) for t, (left, since) in dict(start).items() if t in of]
+    core = [(t, n // size, *row, *of[t]) for n, (t, *row) in enumerate(sorted(asked + begun))]
+    names = ["__tenant", "__chunk", "__us", "__order", "__kind", "__ask", "__since", "__rate", "__capacity", "__fill", "__balance"]
+    pieces = tuples(fold.fill_maps(bool(start))(batch(core, names[:9])))
     columns = ["__tenant", "__chunk", "__upto", "__fill"]
     fills = in_turn(pieces, columns, fold.fill_compose, fold.fill_entries, 3)
-    led = sorted([r + (0,) for r in core] + [(t, c, fold.NEVER, -1, fold.ENTRY, 0, f) for t, c, f in fills])
-    pieces = tuples(fold.balance_maps(rate, capacity)(batch(led, names[:7])))
+    led = sorted([r + (0,) for r in core] + [(t, c, fold.NEVER, -1, fold.ENTRY, 0, 0, 0, 0, f) for t, c, f in fills])
+    pieces = tuples(fold.balance_maps(batch(led, names[:10])))
     columns = ["__tenant", "__chunk", "__fill", "__upto", "__balance", "__slope"]
-    entries = in_turn(pieces, columns, fold.balance_compose, fold.balance_entries(capacity), 4)
-    led = sorted([r + (0, 0) for r in core] + [(t, c, fold.NEVER, -1, fold.ENTRY, 0, f, b) for t, c, f, b in entries])
-    done = tuples(fold.decide(rate, capacity, ["__order"])(batch(led, names)))
+    entries = in_turn(pieces, columns, fold.balance_compose, fold.balance_entries, 4)
+    led = sorted([r + (0, 0) for r in core] + [(t, c, fold.NEVER, -1, fold.ENTRY, 0, 0, 0, 0, f, b) for t, c, f, b in entries])
+    done = tuples(fold.decide(["__order"], None)(batch(led, names)))
     return [(a, r) for _, a, r in sorted(done)]
 
 
@@ -136,6 +143,48 @@ def test_steps_with_chunks_of_any_size():
         assert chunked(rows, rng.choice([1, 2, 7, 40]), rate, capacity) == one_by_one(rows, rate, capacity)
 
 
+def test_steps_with_limits_and_states_of_their_own():
+    """Tenants start from a balance, and from a refill that may be later than their first rows."""
+    rng = random.Random(12)
+    for _ in range(400):
+        limits = {t: (rng.choice([1, 3, 10, 50]), rng.choice([5, 20, 120])) for t in "abc"}
+        span = rng.choice([100, 600, 7200])
+        rows = [(rng.choice("aaabc"), rng.randrange(span), "reset" if rng.random() < 0.02 else rng.randint(0, 30))
+                for _ in range(rng.randint(1, 120))]
+        start = {t: (rng.randint(0, limits[t][1]), rng.randrange(-300, span)) for t in "ab" if any(r[0] == t for r in rows)}
+        got = chunked(rows, rng.choice([1, 2, 7, 40]), 0, 0, start=start, limits=limits)
+        assert got == one_by_one(rows, 0, 0, start, limits)
+
+
+def test_limits_by_column(spark):
+    rng = random.Random(13)
+    limits = {"a": (5, 60), "b": (50, 100), "c": (1, 3)}
+    rows = [(rng.choice("aaaaabc"), rng.randrange(4000), rng.randint(0, 40)) for _ in range(900)]
+    of = spark.createDataFrame([(t, *x) for t, x in limits.items()] + [("d", None, None)], "tenant string, rate int, capacity int")
+    some = asks(spark, rows + [("d", 5, 9), ("e", 6, 9)]).join(of, "tenant", "left")
+    got = token_bucket(some, F.col("rate"), F.col("capacity")).orderBy("request_id").collect()
+    assert [(r.allowed, r.remaining) for r in got[:900]] == one_by_one(rows, 0, 0, limits=limits)
+    assert [(r.allowed, r.remaining) for r in got[900:]] == [(True, None)] * 2
+
+
+def test_a_history_in_parts(spark):
+    """State carried from part to part gives what one run gives; rows of a part may be late."""
+    from promptgov.operators.ratelimit import last_state
+
+    rng = random.Random(14)
+    rows = sorted(((rng.choice("aaab"), rng.randrange(3000), rng.randint(0, 60)) for _ in range(600)), key=lambda r: r[1])
+    state, got = spark.createDataFrame([], "tenant string, fill long, balance long"), []
+    for part in range(3):
+        some = asks(spark, rows).filter((F.col("request_id") >= 200 * part) & (F.col("request_id") < 200 * part + 200))
+        decided = token_bucket(some, 20, 150, state=state, fill="fill").collect()
+        got += [(r.request_id, r.allowed, r.remaining) for r in decided]
+        done = spark.createDataFrame(decided, "tenant string, ts timestamp, request_id long, tokens int, reset boolean, "
+                                     "allowed boolean, remaining long, fill long")
+        last = last_state(done)
+        state = last.unionByName(state.join(last, "tenant", "left_anti"))
+    assert [(a, r) for _, a, r in sorted(got)] == one_by_one(rows, 20, 150)
+
+
 def test_remaining(spark):
     decided = token_bucket(asks(spark, [("a", 0, 300), ("b", 0, 1), ("b", 5, "reset"), ("c", 0, 2000)]),
                            1000, 1000, reset=F.col("reset"))
