@@ -49,3 +49,31 @@ def violation_counts(classified: DataFrame) -> DataFrame:
     return classified.filter(F.col("class") != "allowed").groupBy("rule").agg(
         F.count(F.lit(1)).alias("count"))
 
+
+
+# -- the same reports from counts that can be added up --------------------------
+
+
+def class_counts(classified: DataFrame) -> DataFrame:
+    """tenant, class, rule, n: all that the reports need, with a row per combination that occurs."""
+    return classified.groupBy(tenant_label(F.col("tenant")).alias("tenant"), "class", "rule").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _summed() -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(c)
+            for c in ("allowed", "blocked", "rate_limited")]
+
+
+def totals_of(counts: DataFrame) -> DataFrame:
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *_summed())
+    rate = F.when(F.col("total") > 0, F.col("blocked").cast("double") / F.col("total") * 100)
+    return totals.select("*", F.coalesce(rate, F.lit(0.0)).alias("block_rate_percent"))
+
+
+def by_tenant_of(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("tenant").agg(*_summed())
+
+
+def by_rule_of(counts: DataFrame) -> DataFrame:
+    return counts.filter(F.col("class") != "allowed").groupBy("rule").agg(F.sum("n").alias("count"))

@@ -534,6 +534,15 @@ def oracles() -> dict[str, str]:
             SELECT request_id, allowed IS NOT NULL AS reached, allowed AS rail_allowed,
                    len(vs)::INTEGER AS rail_violations
             FROM prompts LEFT JOIN rails USING (request_id)""",
+        "verdicts_in_time": f"""WITH {VERDICTS}, given AS (
+                SELECT request_id, request_id % 5 * 700 AS wait, allowed, reasons FROM verdicts UNION ALL
+                SELECT request_id, request_id % 5 * 700 + CASE WHEN request_id % 7 = 0 THEN 100 ELSE 0 END, NOT allowed, reasons
+                FROM verdicts WHERE request_id % 7 = 0 OR request_id % 11 = 0),
+            rails AS (SELECT request_id, allowed, wait, {RAILS} AS vs FROM given),
+            firsts AS (SELECT * FROM rails WHERE wait <= 2000 QUALIFY row_number() OVER (
+                PARTITION BY request_id ORDER BY wait, allowed) = 1)
+            SELECT doc_id AS request_id, allowed IS NOT NULL AS reached, allowed AS rail_allowed, len(vs)::INTEGER AS rail_violations
+            FROM documents LEFT JOIN firsts ON doc_id = request_id""",
         "verdict_violations": f"WITH {ALL_VERDICTS}, " + exploded("verdicts", "request_id", RAILS),
         "verdict_outage": f"""WITH {PROMPTS}, {VERDICTS}
             SELECT request_id, tenant, 'blocked' AS action, {lit(V.MSG_UNREACHABLE)} AS reason
@@ -549,6 +558,7 @@ def oracles() -> dict[str, str]:
             "(SELECT * FROM events WHERE len(violations) > 0)",
             "request_id, model, tenant, action, reason", "violations"),
         "audit_json": f"{GATE} SELECT request_id, {AUDIT_JSON} AS json FROM events",
+        "audit_fanout": f"{GATE} SELECT request_id, {AUDIT_JSON} AS json, class, rule FROM classified",
         "audit_classify": f"{GATE} SELECT request_id, class, rule FROM classified",
         "stats_totals": f"""{GATE} SELECT count(*) AS total, {COUNTERS},
             (CASE WHEN count(*) > 0 THEN (count(*) FILTER (class = 'blocked'))::DOUBLE / count(*) * 100
@@ -577,4 +587,7 @@ def oracles() -> dict[str, str]:
     out["stream_bucket"] = out["token_bucket"]
     out["stream_anomaly"] = out["prompt_anomaly"]
     out["stream_stats"] = out["stats_by_tenant"]
+    out["stream_remaining"] = out["bucket_remaining"]
+    out["stream_rpm"] = out["rpm_windows"]
+    out["stream_verdicts"] = out["verdicts_in_time"]
     return out

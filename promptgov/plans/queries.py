@@ -15,11 +15,14 @@ from promptgov.operators.gate import Gate, audit_events, block_response
 from promptgov.plans import workloads as W
 from promptgov.plans.lineage import task_count, work_dir
 from promptgov.sources.audit import fan_out, parquet_sink, with_json
-from promptgov.sources.policy import Policy
+from promptgov.sources.policy import Policy, load_policy
 from promptgov.sources.requests import parse_requests
-from promptgov.streaming.gate import stream_audit
-from promptgov.streaming.state import stream_prompt_anomaly, stream_token_bucket
-from promptgov.streaming.stats import latest, stream_stats
+from promptgov.streaming.batches import (
+    anomaly_batches, bucket_balances, bucket_batches, bucket_table, gate_batches, profile_table,
+)
+from promptgov.streaming.stats import add_counts, count_table, live_report
+from promptgov.streaming.verdicts import stream_verdicts_in_time, verdicts_in_time
+from promptgov.streaming.windows import stream_windows, window_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,11 +83,12 @@ def is_output_clean(spark, sf):
 
 
 def policy_tables(spark, sf):
-    """Requests per tenant beside what the policy says on the tenant."""
-    tables = W.POLICY.tables(spark)
+    """Requests per tenant beside what a policy file says on the tenant."""
+    policy = load_policy(spark, W.policy_file(spark))
+    tables = policy.tables(spark)
     # One row per budget of a hand-written file, kept by the driver: safe to broadcast.
     budgets = F.broadcast(tables["budgets"].drop("ordinal"))
-    rate = W.POLICY.bucket_rate
+    rate = policy.bucket_rate
     used = W.read(spark, sf, "documents").groupBy(F.col("source").alias("tenant")).agg(
         F.count(F.lit(1)).alias("requests"))
     return used.join(budgets, "tenant", "left").withColumn("tokens_per_minute", F.lit(rate))
@@ -196,7 +200,7 @@ def policy_check(table: str, message: Callable[[], Column]) -> Query:
 
 
 def table_stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    """Micro-batches of bounded size: state operators sort a tenant's part of one in memory."""
+    """Micro-batches of bounded size."""
     schema = W.read(spark, sf, table).schema
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", 8 << 30)
     return stream.option("pathGlobFilter", f"{table}.parquet").parquet(sf)
@@ -219,56 +223,110 @@ def drain(spark: SparkSession, writer, checkpoint: str) -> None:
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_to_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def gated(spark: SparkSession, sf: str, label: str, sink) -> str:
+    """Put all requests through the gate as a stream; `sink(folder)` takes the audit events of each micro-batch."""
     folder = work_dir(spark, label)
-    writer = df.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append")
+    deliver = sink(folder)
+    requests = W.requests_from(table_stream(spark, sf, "documents"))
+    writer = gate_batches(requests, W.POLICY, lambda batch, i: deliver(audit_events(batch), i),
+                          bucket_table(f"{folder}/buckets"), W.verdicts(spark, sf))
     drain(spark, writer, f"{folder}/checkpoint")
-    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+    return folder
 
 
-def audit_stream(spark: SparkSession, sf: str) -> DataFrame:
-    requests = W.requests_from(table_stream(spark, sf, "documents"))
-    return stream_audit(requests, W.POLICY, W.verdicts(spark, sf))
+def sunk(spark: SparkSession, path: str) -> DataFrame:
+    """What a parquet sink has taken."""
+    return spark.read.parquet(path).drop("batch_id")
 
 
 def stream_gate(spark, sf):
-    done = stream_to_table(spark, audit_stream(spark, sf), "gate")
-    return with_json(done).select("request_id", "json")
+    json = lambda batch: with_json(batch).select("request_id", "json")
+    folder = gated(spark, sf, "gate", lambda folder: parquet_sink(f"{folder}/rows", json))
+    return sunk(spark, f"{folder}/rows")
 
 
 def stream_bucket(spark, sf):
+    folder = work_dir(spark, "bucket")
     asks = W.asks_from(table_stream(spark, sf, "events"))
-    decided = stream_token_bucket(asks, W.EVENT_RATE, W.EVENT_CAPACITY).select(*DECIDED)
-    return stream_to_table(spark, decided, "bucket")
+    sink = parquet_sink(f"{folder}/rows", lambda batch: batch.select(*DECIDED))
+    writer = bucket_batches(asks, W.EVENT_RATE, W.EVENT_CAPACITY, sink, bucket_table(f"{folder}/balances"))
+    drain(spark, writer, f"{folder}/checkpoint")
+    return sunk(spark, f"{folder}/rows")
+
+
+def stream_remaining(spark, sf):
+    """The balances that a live bucket has left, for all tenants of both tables."""
+    folder = work_dir(spark, "remaining")
+    table = bucket_table(f"{folder}/balances")
+    asks = W.asks_from(table_stream(spark, sf, "events"))
+    drain(spark, bucket_batches(asks, W.EVENT_RATE, W.EVENT_CAPACITY, lambda *_: None, table), f"{folder}/checkpoint")
+    tenants = W.asks(spark, sf).select("tenant").union(
+        W.read(spark, sf, "documents").select(F.col("source").alias("tenant")))
+    return bucket_balances(table, tenants, W.EVENT_CAPACITY)
 
 
 def stream_anomaly(spark, sf):
+    folder = work_dir(spark, "anomaly")
     prompts = W.prompts_from(table_stream(spark, sf, "documents"))
-    return stream_to_table(spark, stream_prompt_anomaly(prompts, W.MIN_SAMPLES), "anomaly")
+    writer = anomaly_batches(prompts, W.MIN_SAMPLES, parquet_sink(f"{folder}/rows"), profile_table(f"{folder}/profiles"))
+    drain(spark, writer, f"{folder}/checkpoint")
+    return sunk(spark, f"{folder}/rows")
 
 
 def stream_statistics(spark, sf):
-    """The audit stream written to a table, and the counts kept by a second stream."""
-    folder = work_dir(spark, "stats")
-    audit = audit_stream(spark, sf)
-    writer = audit.writeStream.format("parquet").option("path", f"{folder}/events").outputMode("append")
-    drain(spark, writer, f"{folder}/gate")
-    replay = spark.readStream.schema(audit.schema).parquet(f"{folder}/events")
-    drain(spark, stream_stats(replay, "stats_by_tenant", f"{folder}/by_tenant"), f"{folder}/counts")
-    return latest(spark, "stats_by_tenant", f"{folder}/by_tenant")
+    """Live counts beside the gate."""
+    table = lambda folder: count_table(f"{folder}/counts")
+    folder = gated(spark, sf, "stats", lambda folder: add_counts(table(folder)))
+    return live_report(spark, table(folder), "stats_by_tenant")
+
+
+def stream_rpm(spark, sf):
+    """Minutes beyond the limit, kept up to date by the stream of windows."""
+    folder = work_dir(spark, "rpm")
+    table = window_table(f"{folder}/windows")
+    drain(spark, stream_windows(W.asks_from(table_stream(spark, sf, "events")), table), f"{folder}/checkpoint")
+    windows = limits.exceeded_windows(table.read(spark), W.rate_limits(spark))
+    return windows.withColumn("minute", minutes(windows, "minute"))
+
+
+def stream_verdicts(spark, sf):
+    """Requests and verdicts as two streams; heartbeats behind the last rows let the watermark pass them."""
+    folder = work_dir(spark, "verdicts")
+    paths = {"requests": f"{folder}/requests", "verdicts": f"{folder}/verdicts"}
+    tables = {"requests": W.timed_requests(spark, sf), "verdicts": W.timed_verdicts(spark, sf)}
+    for name, table in tables.items():
+        table.write.parquet(paths[name])
+    joined = stream_verdicts_in_time(*(spark.readStream.schema(t.schema).parquet(paths[n]) for n, t in tables.items()))
+    out = joined.withColumn("rail_violations", F.to_json("rail_violations"))
+    run = lambda: drain(spark, out.writeStream.format("parquet").option("path", f"{folder}/rows"), f"{folder}/checkpoint")
+    run()
+    end = tables["requests"].agg(F.max("ts")).first()[0]
+    for hours in (1, 2):
+        for name, table in tables.items():
+            beat = F.lit(end) + F.expr(f"INTERVAL {hours} HOUR")
+            value = {"ts": beat, "request_id": F.lit(-hours).cast("long")}
+            spark.range(1).select(*[value.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
+                                    for f in table.schema]).write.mode("append").parquet(paths[name])
+        run()
+    done = spark.read.schema(out.schema).parquet(f"{folder}/rows").filter("request_id >= 0")
+    return done.select("request_id", "reached", "rail_allowed", F.size(F.from_json(
+        "rail_violations", joined.schema["rail_violations"].dataType)).alias("rail_violations"))
+
+
+def verdicts_in_time_(spark, sf):
+    found = verdicts_in_time(W.timed_requests(spark, sf), W.timed_verdicts(spark, sf))
+    return found.select("request_id", "reached", "rail_allowed", F.size("rail_violations").alias("rail_violations"))
 
 
 def audit_fanout(spark, sf):
     """Each event at two sinks: the log lines and the classes."""
-    folder = work_dir(spark, "fanout")
-    sinks = {
+    sinks = lambda folder: fan_out({
         "log": parquet_sink(f"{folder}/log", lambda b: with_json(b).select("request_id", "json")),
         "classes": parquet_sink(f"{folder}/classes",
                                 lambda b: stats.audit_classify(b).select("request_id", "class", "rule")),
-    }
-    drain(spark, audit_stream(spark, sf).writeStream.foreachBatch(fan_out(sinks)), f"{folder}/checkpoint")
-    lines = spark.read.parquet(f"{folder}/log").drop("batch_id")
-    return lines.join(spark.read.parquet(f"{folder}/classes").drop("batch_id"), "request_id")
+    })
+    folder = gated(spark, sf, "fanout", sinks)
+    return sunk(spark, f"{folder}/log").join(sunk(spark, f"{folder}/classes"), "request_id")
 
 
 def queries() -> dict[str, Query]:
@@ -350,5 +408,9 @@ def queries() -> dict[str, Query]:
         "stream_bucket": stream_bucket,
         "stream_anomaly": stream_anomaly,
         "stream_stats": stream_statistics,
+        "stream_remaining": stream_remaining,
+        "stream_rpm": stream_rpm,
+        "verdicts_in_time": verdicts_in_time_,
+        "stream_verdicts": stream_verdicts,
         "audit_fanout": audit_fanout,
     }

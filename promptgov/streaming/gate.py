@@ -12,6 +12,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from promptgov.functions.matching import VIOLATION
 from promptgov.operators.gate import Gate, audit_events
 from promptgov.sources.policy import Policy, load_policy
+from promptgov.streaming.batches import gate_batches
+from promptgov.streaming.keyed import KeyedTable
 from promptgov.streaming.state import stream_token_bucket
 
 log = logging.getLogger(__name__)
@@ -65,22 +67,16 @@ class PolicyWatcher:
 
 
 def reloading_gate(
-    requests: DataFrame, watcher: PolicyWatcher, sink: Callable[[DataFrame, int], None],
+    requests: DataFrame, watcher: PolicyWatcher, sink: Callable[[DataFrame, int], None], table: KeyedTable,
     verdicts: DataFrame | None = None,
 ) -> DataStreamWriter:
     """A gate whose checks follow the policy file; the bucket keeps its first settings.
 
-    The bucket needs token counts only, so it runs in the stream; each micro-batch is
-    then checked under the policy in force, and its decisions go to `sink`.
+    Each micro-batch is decided under the policy in force when it begins, and goes to `sink`; the balances
+    lie in `table`. Prompts stay in the JVM.
     """
-    pinned = watcher.policy
-    limited = _limited(Gate(pinned).read(requests), pinned)
-
-    def judge(batch: DataFrame, batch_id: int) -> None:
-        gate = Gate(watcher.current(batch.sparkSession))
-        sink(gate.judge(gate.flag(batch), verdicts), batch_id)
-
-    return limited.writeStream.outputMode("append").foreachBatch(judge)
+    spark = requests.sparkSession
+    return gate_batches(requests, lambda: watcher.current(spark), sink, table, verdicts, pinned=watcher.policy)
 
 
 def stream_audit(requests: DataFrame, policy: Policy, verdicts: DataFrame | None = None) -> DataFrame:

@@ -15,13 +15,14 @@ from promptgov.operators.ratelimit import token_bucket
 from promptgov.operators.verdicts import VERDICT
 from promptgov.sources.audit import fan_out, parquet_sink, with_json
 from promptgov.sources.policy import RateLimit
+from promptgov.streaming.batches import bucket_table
 from promptgov.streaming.gate import PolicyWatcher, reloading_gate, stream_audit, stream_gate
 from promptgov.streaming.state import stream_prompt_anomaly, stream_token_bucket
 from promptgov.streaming.stats import REPORTS, latest, stream_stats
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 POLICY = Policy(prompt_injection_protection=True, pii_redaction=True, blocked_patterns=("drop table",),
-                rate_limits=(RateLimit("a", 20, 0),))
+                rate_limits=(RateLimit("a", 20, 0),), guardrails_endpoint="verdicts")
 REQUEST = "request_id long, ts timestamp, method string, tenant string, body string"
 
 
@@ -171,7 +172,7 @@ def test_policy_reload(spark, feed, drain, tmp_path, caplog):
     watcher.current = current
     requests = feed(spark.createDataFrame(rows, REQUEST))
     with caplog.at_level(logging.WARNING):
-        drain(reloading_gate(requests, watcher, sink), "reload")
+        drain(reloading_gate(requests, watcher, sink, bucket_table(str(tmp_path / "balances"))), "reload")
     one, two = ({f"Prompt contains blocked pattern: (?i){t}"} for t in ("one", "two two"))
     assert [seen[i] for i in range(3)] == [one, two, two]
     assert watcher.reloads == 2 and "tokens_per_minute must be positive" in caplog.text
