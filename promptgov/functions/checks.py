@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptgov.functions import patterns as P
+from promptgov.functions.denylist import FEW, deny_violations
 from promptgov.functions.matching import (
     VIOLATION,
     hit,
@@ -63,8 +64,13 @@ def max_token_violation(norm: Column, max_prompt_tokens: int) -> Column:
     return F.when(estimate_tokens(norm) > max_prompt_tokens, found)
 
 
+def _few(policy) -> tuple[str, ...]:
+    """The entries of a deny-list that is short enough for a regex each."""
+    return policy.blocked_patterns if len(policy.blocked_patterns) <= FEW else ()
+
+
 def needles_of(policy) -> list[str]:
-    needles = [n for text in policy.blocked_patterns for n in blocked_needles(text)]
+    needles = [n for text in _few(policy) for n in blocked_needles(text)]
     if policy.prompt_injection_protection:
         needles += [n for group in P.INJECTION_NEEDLES for n in group]
     return needles
@@ -72,7 +78,7 @@ def needles_of(policy) -> list[str]:
 
 def violations_of(norm: Column, has: Has, policy) -> Column:
     """All violations of a normalised prompt; only checks the policy enables are built."""
-    candidates = blocked_violations(norm, has, policy.blocked_patterns)
+    candidates = blocked_violations(norm, has, _few(policy))
     if policy.prompt_injection_protection:
         candidates += injection_violations(norm, has)
     if policy.max_prompt_tokens > 0:
@@ -86,8 +92,12 @@ def check(df: DataFrame, policy, prompt: str = "prompt", into: str = "violations
     """Normalise the prompt and add its violations; map-only."""
     kept = [c for c in df.columns if c != into]
     staged = normalize(df, prompt, "__norm")
+    few = _few(policy) == policy.blocked_patterns
+    if not few:
+        staged = staged.withColumn("__denied", deny_violations(F.col("__norm"), policy.blocked_patterns, df.sparkSession))
     flagged, has = with_needles(staged, "__norm", needles_of(policy))
-    return pinned(flagged, kept, violations_of(F.col("__norm"), has, policy), into)
+    found = violations_of(F.col("__norm"), has, policy)
+    return pinned(flagged, kept, found if few else F.concat("__denied", found), into)
 
 
 def is_clean(violations: Column) -> Column:

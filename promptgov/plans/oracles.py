@@ -5,6 +5,8 @@ DuckDB's regexes are RE2, so the patterns stand here as written, untranslated.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from promptgov.functions import patterns as P
 from promptgov.operators import anomaly as A
 from promptgov.operators import gate as G
@@ -425,6 +427,14 @@ def _checks(found: list[str]) -> str:
     )
 
 
+# What regexes give a meaning to, and how it is quoted.
+META, QUOTED = r"([\\.+*?()|\[\]{}^$])", r"\\\1"
+
+
+def _folded(s: str) -> str:
+    return f"replace(lower({s}), '\u017f', 's')"
+
+
 def oracles() -> dict[str, str]:
     s = W.POLICY
     everything = blocked("n") + injection("n") + max_tokens("n")
@@ -458,6 +468,20 @@ def oracles() -> dict[str, str]:
         "normalize_input": _output(normalized("output"), "normalized"),
         # Checks
         "check_blocked": _checks(blocked("n")),
+        "check_deny_list": f"""WITH {PROMPTS}, norms AS MATERIALIZED (
+                SELECT request_id, {normalized('prompt')} AS n FROM prompts),
+            low AS (SELECT *, {_folded('n')} AS l FROM norms),
+            listed(entry, part, i) AS (
+                VALUES {", ".join(f"({lit(e)}, 0, {i})" for i, e in enumerate(s.blocked_patterns))} UNION ALL
+                SELECT translate(substr(text, 1, 30), '{ascii_lowercase}', '{ascii_uppercase}'), 1, item_id FROM benchmark WHERE text IS NOT NULL UNION ALL
+                SELECT p_name, 2, p_partkey FROM part WHERE p_name IS NOT NULL),
+            entries AS (SELECT entry, {_folded('entry')} AS e, row_number() OVER (ORDER BY part, i) AS o FROM listed),
+            found AS (SELECT request_id, o, n, l, e, entry FROM low JOIN entries ON contains(l, e))
+            SELECT request_id, (row_number() OVER (PARTITION BY request_id ORDER BY o) - 1)::INTEGER AS ordinal,
+                   'blocked_pattern' AS rule, 'critical' AS severity,
+                   {lit(P.MSG_BLOCKED)} || '(?i)' || regexp_replace(entry, {lit(META)}, {lit(QUOTED)}, 'g') AS message,
+                   strlen(left(n, strpos(l, e) - 1))::INTEGER AS position
+            FROM found""",
         "check_injection": _checks(injection("n")),
         "check_max_tokens": _checks(max_tokens("n")),
         "check_prompt": _checks(everything),

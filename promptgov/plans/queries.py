@@ -55,6 +55,12 @@ def checked(**only) -> Query:
     return lambda spark, sf: listed(checks.check(W.prompts(spark, sf), policy), "request_id")
 
 
+def check_deny_list(spark, sf):
+    """Violations of a deny-list with thousands of entries."""
+    policy = Policy(blocked_patterns=W.long_deny_list(spark, sf))
+    return listed(checks.check(W.prompts(spark, sf), policy), "request_id")
+
+
 def normalize_input(spark, sf):
     df = text.normalize(W.outputs(spark, sf), "output", "normalized")
     return df.select("kind", "id", "normalized")
@@ -358,6 +364,7 @@ def queries() -> dict[str, Query]:
         "norm_control": on_prompts(text.drop_control, "normalized"),
         "normalize_input": normalize_input,
         "check_blocked": checked(blocked_patterns=W.POLICY.blocked_patterns),
+        "check_deny_list": check_deny_list,
         "check_injection": checked(prompt_injection_protection=True),
         "check_max_tokens": checked(max_prompt_tokens=W.POLICY.max_prompt_tokens),
         "check_prompt": checked(),
