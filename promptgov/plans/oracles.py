@@ -377,6 +377,13 @@ COUNTERS = """count(*) FILTER (class = 'allowed') AS allowed, count(*) FILTER (c
     count(*) FILTER (class = 'rate_limited') AS rate_limited"""
 
 
+_MILD = f"s.sec >= {W.BASE_SECOND + W.MILD_AFTER}"
+_ALL = present(blocked('n') + injection('n') + max_tokens('n'))
+_FEW = present([v for e, v in zip(W.POLICY.blocked_patterns, blocked('n'), strict=True) if e in W.MILD.blocked_patterns])
+REPLAY = GATE.replace(_ALL, f"CASE WHEN {_MILD} THEN {_FEW} ELSE {_ALL} END").replace(
+    f"{has_pii('prompt')} AS has_pii", f"NOT {_MILD} AND {has_pii('prompt')} AS has_pii")
+
+
 def escaped(s: str) -> str:
     for char, escape in ESCAPED.items():
         s = f"replace({s}, {lit(char)}, {lit(escape)})"
@@ -573,6 +580,9 @@ def oracles() -> dict[str, str]:
             FROM prompts ANTI JOIN verdicts USING (request_id)""",
         "gate_decision": f"""{GATE} SELECT request_id, tenant, model, outcome, action, reason,
             len(violations)::INTEGER AS violations FROM decisions""",
+        "policy_replay": f"""{REPLAY} SELECT request_id, tenant, outcome, action, reason, len(violations)::INTEGER AS violations,
+            (CASE WHEN sec >= {W.BASE_SECOND + W.MILD_AFTER} THEN 1 ELSE 0 END)::INTEGER AS policy_version
+            FROM decisions JOIN (SELECT request_id, sec FROM requests) USING (request_id)""",
         "block_response": f"""{GATE}, errors(outcome, status, error_message, error_type, error_code) AS (
                 VALUES {ERRORS})
             SELECT request_id, outcome, coalesce(status, 200)::INTEGER AS status, error_message, error_type,

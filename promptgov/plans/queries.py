@@ -12,10 +12,11 @@ from promptgov.functions import checks, output, pii, text
 from promptgov.operators import anomaly, budgets, limits, policy_rules, ratelimit, routing, stats, verdicts
 from promptgov.operators.clock import micros
 from promptgov.operators.gate import Gate, audit_events, block_response
+from promptgov.operators.replay import replay
 from promptgov.plans import workloads as W
 from promptgov.plans.lineage import task_count, work_dir
 from promptgov.sources.audit import fan_out, parquet_sink, with_json
-from promptgov.sources.policy import Policy, load_policy
+from promptgov.sources.policy import Policy, load_policy, load_versions
 from promptgov.sources.requests import parse_requests
 from promptgov.streaming.batches import (
     anomaly_batches, bucket_balances, bucket_batches, bucket_table, gate_batches, profile_table,
@@ -189,6 +190,12 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
     return Gate(W.POLICY).decide(W.requests(spark, sf), W.verdicts(spark, sf))
 
 
+def policy_replay(spark, sf):
+    versions = load_versions(spark, W.policy_versions(spark))
+    done = replay(W.requests(spark, sf), versions, W.verdicts(spark, sf))
+    return done.select("request_id", "tenant", "outcome", "action", "reason", F.size("violations").alias("violations"), "policy_version")
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return audit_events(decisions(spark, sf))
 
@@ -397,6 +404,7 @@ def queries() -> dict[str, Query]:
         "verdict_outage": verdict_outage,
         "gate_decision": lambda spark, sf: decisions(spark, sf).withColumn(
             "violations", F.size("violations")).drop("ts"),
+        "policy_replay": policy_replay,
         "block_response": lambda spark, sf: block_response(decisions(spark, sf)).select(
             "request_id", "outcome", "status", "error_message", "error_type", "error_code"),
         "audit_events": lambda spark, sf: listed(

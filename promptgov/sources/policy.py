@@ -7,6 +7,7 @@ built into column expressions or shown as small tables for joins.
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from promptgov.operators import policy_rules as rules
 
+log = logging.getLogger(__name__)
+
 
 def _typed(value, kind: type, field: str):
     """The value if it is of the kind; the kind's empty value for None."""
@@ -167,3 +170,27 @@ def load_policy(spark: SparkSession, path: str) -> Policy:
     if message is not None:
         raise ValueError(f"{path}: {message}")
     return policy
+
+
+def load_versions(spark: SparkSession, versions: DataFrame, path: str = ".json") -> list[tuple[int, Policy]]:
+    """(valid_from in microseconds, policy) for each valid version, in order of time.
+
+    versions: valid_from, text; a row per version of a hand-written file, which the driver keeps. Of versions of one
+    instant the last text counts. `path` tells by its ending what the texts are. A version that is not valid is reported
+    and left out, so that the one before it stays in force; the first one must be valid.
+    """
+    found: list[tuple[int, Policy]] = []
+    rows = versions.groupBy(F.unix_micros("valid_from").alias("us")).agg(F.max("text").alias("text"))
+    for row in sorted(rows.collect(), key=lambda r: r.us):
+        try:
+            policy = parse_policy(row.text or "", path)
+            message = policy.error(spark)
+        except ValueError as e:
+            message = str(e)
+        if message is None:
+            found.append((row.us, policy))
+        elif not found:
+            raise ValueError(f"the first policy version is not valid: {message}")
+        else:
+            log.warning("policy version of %s left out: %s", row.us, message)
+    return found

@@ -286,3 +286,32 @@ def test_bucket_remaining_agrees(spark, feed, drain, tmp_path):
     drain(B.bucket_batches(feed(parts(df, 4, 10)), 20, 100, lambda *_: None, table))
     tenants = spark.createDataFrame([("a",), ("b",), ("c",)], "tenant string")
     same(B.bucket_balances(table, tenants, 100), bucket_remaining(token_bucket(df, 20, 100), tenants, 100))
+
+
+# -- policies over time -----------------------------------------------------------
+
+
+def test_replay_equals_live_reload(spark, feed, drain, tmp_path, caplog):
+    """Versions by time, one of them not valid, give what a stream gives whose file changes between micro-batches."""
+    from promptgov.operators.replay import replay
+    from promptgov.sources.policy import load_versions
+
+    df = requests(spark)
+    text = lambda **security: json.dumps({"security": security, "rateLimits": [{"tokens_per_minute": 20}]})
+    texts = [text(prompt_injection_protection=True, pii_redaction=True), '{"rateLimits": [{"tokens_per_minute": 0}]}',
+             text(blocked_patterns=["hello"]), text(blocked_patterns=["drop table"], pii_redaction=True)]
+    table = spark.createDataFrame([(at(7 * 30 * i), t) for i, t in enumerate(texts)], "valid_from timestamp, text string")
+    versions = load_versions(spark, table)
+    assert len(versions) == 3 and "left out" in caplog.text
+    want = replay(df, versions)
+    assert {r.policy_version for r in want.select("policy_version").distinct().collect()} == {0, 1, 2}
+    in_force = iter([versions[i][1] for i in (0, 0, 1, 2)])
+    writer = B.gate_batches(feed(parts(df, 4, 30)), lambda: next(in_force), parquet_sink(str(tmp_path / "out")),
+                            B.bucket_table(str(tmp_path / "balances")), pinned=versions[0][1])
+    drain(writer)
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
+    same(got, want)
+    early = df.withColumn("ts", F.when(F.col("request_id") % 2 == 0, F.lit(at(-500)).cast("timestamp")))
+    assert {r.policy_version for r in replay(early, versions).collect()} == {0}
+    with pytest.raises(ValueError):
+        load_versions(spark, table.filter(F.col("valid_from") == F.lit(at(210))))
