@@ -66,7 +66,8 @@ def probe_keys(edits: int) -> Column:
     """Substrings that may be segment i of a line `shorter` characters shorter.
 
     Left of segment i there can be at most i edits, right of it at most edits - i, or an
-    earlier segment survives; this bounds its shift on both sides.
+    earlier segment survives; this bounds its shift on both sides. Null where the line has no
+    such substring: a filter in here would have the keys computed outside of generated code.
     """
     keys = []
     for shorter in range(edits + 1):
@@ -77,7 +78,7 @@ def probe_keys(edits: int) -> Column:
                 at = start + shift
                 key = signature(shorter, i, at, length)
                 keys.append(F.when((at >= 0) & (at + length <= F.col("size")), key))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def parities(line: Column) -> Column:
@@ -86,9 +87,9 @@ def parities(line: Column) -> Column:
     return sum((odd(c) * (1 << i) for i, c in enumerate(LETTERS[1:], 1)), odd(LETTERS[0]))
 
 
-def sketch(line: Column, edits: int) -> Column:
+def sketch(edits: int) -> Column:
     """The parities, and above them the length modulo edits + 1, which tells equal lengths among near ones."""
-    return parities(line) + F.shiftleft((F.length(line) % (edits + 1)).cast("long"), len(LETTERS))
+    return F.col("parities") + F.shiftleft((F.col("size") % (edits + 1)).cast("long"), len(LETTERS))
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -145,20 +146,24 @@ def band_distance(x: Column, y: Column, edits: int) -> Column:
     return F.when(F.abs(m - n) > edits, F.lit(edits + 1)).otherwise(done)
 
 
-def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """One row per different line: copies, first place, index and probe keys."""
-    place = F.struct("id", "no")
-    keyed = lines.select("a", "b", place.alias("place"), sketch(F.col("line"), edits).alias("sketch"),
-                         index_keys(edits).alias("index"), probe_keys(edits).alias("probes"))
-    return keyed.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"), F.first("sketch").alias("sketch"),
-        F.first("index").alias("index"), F.first("probes").alias("probes"))
+def line_classes(lines: DataFrame) -> DataFrame:
+    """One row per different line: copies, first place, the line itself and its parities.
+
+    All that depends on the text is computed on this table, once per different line.
+    """
+    known = lines.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "no", "line")).alias("least"))
+    line = F.col("least.line")
+    return known.select(
+        "a", "b", "copies", F.struct(F.col("least.id").alias("id"), F.col("least.no").alias("no")).alias("first"),
+        line.alias("line"), F.length(line).alias("size"), parities(line).alias("parities"))
 
 
-def line_links(lines: DataFrame, classes: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
     """(u, v): hashes of different lines within the distance, each pair once in each direction."""
-    index = classes.select(F.col("a").alias("u"), F.col("sketch").alias("x"), F.explode("index").alias("key"))
-    probes = classes.select(F.col("a").alias("v"), F.col("sketch").alias("y"), F.explode("probes").alias("key"))
+    side = lambda name, x, keys: classes.select(
+        F.col("a").alias(name), sketch(edits).alias(x), F.explode(keys(edits)).alias("key")).filter("key IS NOT NULL")
+    index, probes = side("u", "x", index_keys), side("v", "y", probe_keys)
     differ, letters = F.col("x").bitwiseXOR(F.col("y")), (1 << len(LETTERS)) - 1
     alike = F.bit_count(differ.bitwiseAND(F.lit(letters))) <= 2 * edits
     # Lines of equal length find each other both ways, others only from the longer one.
@@ -166,12 +171,12 @@ def line_links(lines: DataFrame, classes: DataFrame, edits: int = EDITS) -> Data
     met = index.join(probes, (index["key"] == probes["key"]) & (F.col("u") != F.col("v")) & once & alike).select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     met = cut_lineage(met, "line-pairs")
-    # The few lines that met somebody are read again for their texts.
+    # The texts of the few lines that met somebody.
     needed = cut_lineage(met.select(F.col("u").alias("a")).unionByName(
         met.select(F.col("v").alias("a"))).distinct(), "met-lines")
     if needed.count() <= SENT_LINES:
         needed = F.broadcast(needed)
-    texts = cut_lineage(lines.select("a", "line").join(needed, "a", "left_semi").dropDuplicates(["a"]), "met-texts")
+    texts = cut_lineage(classes.select("a", "line").join(needed, "a", "left_semi").dropDuplicates(["a"]), "met-texts")
     pairs = met.join(texts.select(F.col("a").alias("u"), F.col("line").alias("x")), "u").join(
         texts.select(F.col("a").alias("v"), F.col("line").alias("y")), "v")
     # The built-in banded distance is quick to discard; the bit-parallel one decides.
@@ -190,8 +195,8 @@ def line_join(
     within `edits`; removed tells whether an equal or linked line comes earlier.
     """
     lines = lines_of(documents, id_col, text_col, least)
-    classes = cut_lineage(line_classes(lines, edits), "line-classes")
-    return fates(lines, classes, line_links(lines, classes, edits), id_col).drop("copies")
+    classes = cut_lineage(line_classes(lines), "line-classes")
+    return fates(lines, classes, line_links(classes, edits), id_col).drop("copies")
 
 
 def fates(lines: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
@@ -216,14 +221,13 @@ def every_line(
     half as many from half that length on, none below, where a class is all there is.
     """
     lines = lines_of(documents, id_col, text_col, 1).filter(F.col("line").rlike(r"\S"))
-    classes = cut_lineage(lines.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "no")).alias("first")), "all-classes")
+    classes = cut_lineage(line_classes(lines), "line-classes")
     # A line of just `least` code points meets shorter ones with their edits, too.
-    long_, middle = lines.filter(F.col("size") >= least), lines.filter(F.col("size").between(least // 2, least))
+    long_, middle = classes.filter(F.col("size") >= least), classes.filter(F.col("size").between(least // 2, least))
     links = None
     for some, allowed in ((long_, edits), (middle, edits // 2)):
         if allowed:
-            near = line_links(some, cut_lineage(line_classes(some, allowed), "line-classes"), allowed)
+            near = line_links(some, allowed)
             links = near if links is None else links.unionByName(near).distinct()
     if links is None:
         links = classes.select(F.col("a").alias("u"), F.col("a").alias("v")).filter("false")
