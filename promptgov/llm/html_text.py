@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -38,7 +39,7 @@ BLOCK = frozenset(
 SPACED = frozenset("br td th wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "head nav footer aside form button select dialog menu svg math canvas object audio video map datalist "
+    "head nav footer aside form button select dialog menu svg canvas object audio video map datalist "
     "fieldset label input textarea search script style noscript iframe template title xmp noembed noframes".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr", "option", "optgroup"}
@@ -59,7 +60,8 @@ WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?>[^'\">]+|\"[^\"]*\"|'[^']*'|['\"])*)(>|\Z)", re.S)
+    # A quote opens a value only after an equals sign; other values end at white space.
+    r"|<(/?)([A-Za-z][^\s/>]*)((?>[^>=]+|=\s*(?>\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*|))*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-label|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
@@ -143,6 +145,8 @@ def tokens(source: str) -> Page:
     pieces = page.pieces
     dropped = links = headings = 0
     limit = len(source)
+    open_at: dict[str, list[int]] = defaultdict(list)  # where on the stack each name is
+    highest = lambda names: max((open_at[n][-1] for n in names if open_at[n]), default=-1)
 
     def text(raw: str) -> None:
         nonlocal block
@@ -157,18 +161,17 @@ def tokens(source: str) -> Page:
         nonlocal dropped, links, headings, part, article, block
         while len(stack) > upto:
             name, drop, part, article = stack.pop()
+            open_at[name].pop()
             dropped -= drop
             links -= name == "a"
             headings -= name in HEADING
             block += name in BLOCK
 
     def close(names, scope=SCOPE) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                leave(i)
-                return
-            if stack[i][0] in scope:
-                return
+        """Leave the innermost element of these names, unless one of the scope is further in."""
+        own = highest(names)
+        if own >= 0 and own >= highest(scope):
+            leave(own)
 
     while at < limit:
         found = TAG.search(source, at)
@@ -188,7 +191,7 @@ def tokens(source: str) -> Page:
         pieces.append(Piece(group, dropped=dropped > 0 or name in DROPPED, block=block, part=part))
         within.append(article)
         if slash:
-            if name == "p" and not any(s[0] == "p" for s in stack):
+            if name == "p" and not open_at["p"]:
                 block += 1
             close((name,), frozenset() if name in SCOPE else SCOPE)
             block += name in BLOCK
@@ -209,6 +212,7 @@ def tokens(source: str) -> Page:
         if name in VOID or attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
         drop = name in DROPPED or name == "header" and article < 0 or bool(attributes) and hidden(attributes)
+        open_at[name].append(len(stack))
         stack.append((name, bool(drop), part, article))
         dropped += bool(drop)
         marking = name in ("article", "main")

@@ -304,6 +304,27 @@ def test_words_outside_are_learned():
     assert -2 < html_text.weights({"word": (20, 9000), "word:outside": (0, 300)})["word:outside"] < -1
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p>See <a href=foo">Link</a> words that matter here.<p class="x">Last para.</article>', "See Link words that matter here.\n\nLast para."),
+    ("<article><p title=it's>It's fine to say so.</p><p>Don't stop.</p></article>", "It's fine to say so.\n\nDon't stop."),
+    ('<article><p "odd>First words.</p><p a="b>c" d = \'e>f\' g>Second words.</p></article>', "First words.\n\nSecond words."),
+    ("<article><p>The mass is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in units.</p></article>", "The mass is E=m in units."),
+])
+def test_tags_and_quotes(page, text):
+    assert html_text.main_text(page, html_text.weights({})) == text
+
+
+@pytest.mark.parametrize("part", ["<i></zz>", "<a><div><i></a>", "<p><b></i>", "<li></td>", '<b title="x>', "<td><p>", "</p>"])
+def test_hostile_pages_take_seconds(part):
+    """Pages of 300 KB whose tags match nothing; time grows with the page, not with its square."""
+    import time
+
+    page = part * (300_000 // len(part)) + "<p>Some words at the end.</p>"
+    began = time.monotonic()
+    html_text.main_text(page, html_text.weights({}))
+    assert time.monotonic() - began < 15
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x <b"), (2, None, "")],
                                   "page_id long, url string, html string").withColumn("text", F.lit(1))
