@@ -45,46 +45,55 @@ def lines_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.withColumns({"a": F.xxhash64("line"), "b": F.hash("line")})
 
 
-def segment(i: int, parts: int, shorter: int) -> tuple[Column, Column]:
+def segment(i: Column, parts: int, shorter: Column) -> tuple[Column, Column]:
     """Start and length of part i of `size - shorter` characters; the last parts take what is left over."""
-    base, rest = F.expr(f"int((size - {shorter}) div {parts})"), F.expr(f"(size - {shorter}) % {parts}")
-    extra = lambda k: F.greatest(F.lit(0), F.lit(k - parts) + rest)
-    start = base * i + extra(i)
-    return start, base + extra(i + 1) - extra(i)
+    whole = F.col("size") - shorter
+    rest = whole % parts
+    base = ((whole - rest) / parts).cast("int")
+    extra = lambda k: F.greatest(F.lit(0), k - parts + rest)
+    return base * i + extra(i), base + extra(i + 1) - extra(i)
 
 
-def signature(shorter: int, i: int, start: Column, length: Column) -> Column:
-    return F.xxhash64(F.col("size") - shorter, F.lit(i), F.substring("line", start + 1, length))
+def index_places(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter, segment, shift) of a line's own segments."""
+    return [(0, i, 0) for i in range(edits + 1)]
 
 
-def index_keys(edits: int) -> Column:
-    parts = [(i, *segment(i, edits + 1, 0)) for i in range(edits + 1)]
-    return F.array(*[signature(0, i, start, length) for i, start, length in parts])
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """Where a line may hold segment i of a line `shorter` characters shorter.
 
+    Left of segment i there can be at most i edits, right of it at most edits - i, or an
+    earlier segment survives; this bounds its shift on both sides.
+    """
+    return [(shorter, i, shift) for shorter in range(edits + 1) for i in range(edits + 1)
+            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)]
 
-def probe_keys(edits: int) -> Column:
-    """Substrings that may be segment i of a line `shorter` characters shorter.
 
-    Left of segment i there can be at most i edits, right of it at most edits - i, or an
-    earlier segment survives; this bounds its shift on both sides. Null where the line has no
-    such substring: a filter in here would have the keys computed outside of generated code.
+def keyed(classes: DataFrame, edits: int, places: list[tuple[int, int, int]], name: str, bits: str) -> DataFrame:
+    """(name, bits, key): a row per line and place, with the hash of what stands there.
+
+    The places are exploded first and hold for all lines, so one short expression makes every key:
+    an array with an expression per place is more code than the JVM compiles.
     """
-    keys = []
-    for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            start, length = segment(i, edits + 1, shorter)
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                key = signature(shorter, i, at, length)
-                keys.append(F.when((at >= 0) & (at + length <= F.col("size")), key))
-    return F.array(*keys)
+    place = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("shorter", "i", "shift"), p, strict=True)]) for p in places])
+    rows = classes.select("a", "line", "size", sketch(edits).alias(bits), F.explode(place).alias("p"))
+    start, length = segment(F.col("p.i"), edits + 1, F.col("p.shorter"))
+    at = start + F.col("p.shift")
+    key = F.xxhash64(F.col("size") - F.col("p.shorter"), F.col("p.i"), F.substring("line", at + 1, length))
+    return rows.filter((at >= 0) & (at + length <= F.col("size"))).select(F.col("a").alias(name), bits, key.alias("key"))
 
 
 def parities(line: Column) -> Column:
-    """One bit for each of LETTERS: whether the line has an odd number of it. An edit turns at most two."""
-    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 2
-    return sum((odd(c) * (1 << i) for i, c in enumerate(LETTERS[1:], 1)), odd(LETTERS[0]))
+    """One bit for each of LETTERS: whether the line has an odd number of it. An edit turns at most two.
+
+    Each letter is counted by taking it away from what the ones before have left.
+    """
+    bits, left = [], line
+    for i, letter in enumerate(LETTERS):
+        rest = F.replace(left, F.lit(letter), F.lit(""))
+        bits.append((F.octet_length(left) - F.octet_length(rest)) % 2 * (1 << i))
+        left = rest
+    return sum(bits[1:], bits[0])
 
 
 def sketch(edits: int) -> Column:
@@ -161,9 +170,8 @@ def line_classes(lines: DataFrame) -> DataFrame:
 
 def line_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
     """(u, v): hashes of different lines within the distance, each pair once in each direction."""
-    side = lambda name, x, keys: classes.select(
-        F.col("a").alias(name), sketch(edits).alias(x), F.explode(keys(edits)).alias("key")).filter("key IS NOT NULL")
-    index, probes = side("u", "x", index_keys), side("v", "y", probe_keys)
+    index = keyed(classes, edits, index_places(edits), "u", "x")
+    probes = keyed(classes, edits, probe_places(edits), "v", "y")
     differ, letters = F.col("x").bitwiseXOR(F.col("y")), (1 << len(LETTERS)) - 1
     alike = F.bit_count(differ.bitwiseAND(F.lit(letters))) <= 2 * edits
     # Lines of equal length find each other both ways, others only from the longer one.
