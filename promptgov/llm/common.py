@@ -12,7 +12,25 @@ from pyspark.sql import types as T
 
 from promptgov.plans.lineage import cut_lineage, work_dir
 
-__all__ = ["cut_lineage", "work_dir", "as_bytes", "map_rows", "bottom_sample", "seconds"]
+__all__ = ["cut_lineage", "cut_and_free", "work_dir", "as_bytes", "map_rows", "bottom_sample", "seconds"]
+
+
+#: Spark's setting that removes the shuffle files of a job when it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_and_free(df: DataFrame, label: str) -> DataFrame:
+    """`cut_lineage` whose shuffle files go when the table is written, as nothing reads them again.
+
+    Otherwise they lie beside the table, as large as it, until the driver collects garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return cut_lineage(df, label)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
 
 
 def as_bytes(batch: pa.RecordBatch, name: str, step: int = 128) -> Iterator[bytes | None]:

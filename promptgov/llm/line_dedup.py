@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptgov.llm.common import cut_lineage
+from promptgov.llm.common import cut_and_free, cut_lineage
 
 EDITS, LEAST = 2, 40
 #: Letters whose counts are compared before texts are; any would do.
@@ -178,7 +178,7 @@ def line_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
     once = (F.col("u") < F.col("v")) | (differ > letters)
     met = index.join(probes, (index["key"] == probes["key"]) & (F.col("u") != F.col("v")) & once & alike).select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    met = cut_lineage(met, "line-pairs")
+    met = cut_and_free(met, "line-pairs")
     # The texts of the few lines that met somebody.
     needed = cut_lineage(met.select(F.col("u").alias("a")).unionByName(
         met.select(F.col("v").alias("a"))).distinct(), "met-lines")
@@ -203,7 +203,7 @@ def line_join(
     within `edits`; removed tells whether an equal or linked line comes earlier.
     """
     lines = lines_of(documents, id_col, text_col, least)
-    classes = cut_lineage(line_classes(lines), "line-classes")
+    classes = cut_and_free(line_classes(lines), "line-classes")
     return fates(lines, classes, line_links(classes, edits), id_col).drop("copies")
 
 
@@ -229,7 +229,7 @@ def every_line(
     half as many from half that length on, none below, where a class is all there is.
     """
     lines = lines_of(documents, id_col, text_col, 1).filter(F.col("line").rlike(r"\S"))
-    classes = cut_lineage(line_classes(lines), "line-classes")
+    classes = cut_and_free(line_classes(lines), "line-classes")
     # A line of just `least` code points meets shorter ones with their edits, too.
     long_, middle = classes.filter(F.col("size") >= least), classes.filter(F.col("size").between(least // 2, least))
     links = None
