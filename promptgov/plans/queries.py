@@ -213,10 +213,11 @@ def policy_check(table: str, message: Callable[[], Column]) -> Query:
 
 
 def table_stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    """Micro-batches of bounded size."""
+    """Micro-batches of bounded size, of a table that is one file or a folder of files."""
     schema = W.read(spark, sf, table).schema
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", 8 << 30)
-    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    # A stream takes a folder or a pattern, but no file: the pattern matches the table alone, whichever it is.
+    return stream.option("basePath", sf).parquet(f"{sf}/{table}.parque[t]")
 
 
 @contextmanager

@@ -45,3 +45,21 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["tenant", "allowed", "blocked", "rate_limited"]
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The same tables, each as a folder of several files."""
+    path = tmp_path_factory.mktemp("folders")
+    for table in TABLES:
+        spark.read.parquet(f"{DATA}/{table}.parquet").repartition(3).write.parquet(f"{path}/{table}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["stream_gate", "stream_anomaly", "stream_bucket", "stream_remaining", "stream_stats",
+                                  "audit_fanout"])
+def test_streams_read_folders(spark, folders, name):
+    """A table that is a folder of files streams as one that is a single file."""
+    got, want = (QUERIES[name](spark, sf) for sf in (folders, DATA))
+    data = want.collect()
+    assert data and rows(got.columns, got.collect()) == rows(want.columns, data)
