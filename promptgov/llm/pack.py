@@ -35,8 +35,8 @@ PIECES = T.ArrayType(T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
     T.StructField("ids", T.BinaryType())]))
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers; longer ones are not remembered.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,8 @@ def byte_bpe(path: str, end: int = 2, added: dict[str, int] | None = None) -> Ca
     """Ids of a text under a byte-level BPE rank file, with the end token.
 
     The pattern never joins a character to the space after it, so the ids of a text are those
-    of its words, each with the space before it; a task remembers the words it has met. Texts
+    of its words, each with the space before it; a task remembers the words it has met, and encodes
+    the new ones of a text together: a token that begins with a space begins a word. Texts
     with runs of white space are encoded whole. `added` tokens inside a text are one id each, and
     what is between them is encoded by itself.
     """
@@ -77,31 +78,36 @@ def byte_bpe(path: str, end: int = 2, added: dict[str, int] | None = None) -> Ca
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         encode = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        known: dict[str, list[int]] = {}
+        begins = np.zeros(max(ranks.values()) + 1, bool)
+        begins[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
+        known: dict[str, bytes] = {}
         cut = re.compile(f"({strings})") if strings else None
+        run = re.compile(r" (?:\s|\Z)")
 
-        def plain(text: str) -> list[int]:
+        def plain(text: str) -> bytes:
+            if run.search(text):
+                return np.array(encode(text), "<u4").tobytes()
             first, *parts = text.split(" ")
-            if any(not p or p[0].isspace() for p in parts):
-                return encode(text)
-            out = encode(first)
-            for part in parts:
-                found = known.get(part)
-                if found is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    found = encode(" " + part)
-                    if len(part) < 64:
-                        known[part] = found
-                out += found
+            new = list(set(parts).difference(known))
+            if new:
+                if len(known) + len(new) > REMEMBERED:
+                    known.clear()
+                    new = list(set(parts))
+                ids = np.array(encode(" " + " ".join(new)), "<u4")
+                raw, at = ids.tobytes(), [*(4 * np.flatnonzero(begins[ids])).tolist(), 4 * len(ids)]
+                known.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+            out = np.array(encode(first), "<u4").tobytes() + b"".join(map(known.__getitem__, parts))
+            for part in new:
+                if len(part) >= LONGEST:
+                    del known[part]
             return out
 
         def ids(text: str) -> np.ndarray:
             segments = cut.split(text) if cut else [text]
-            out = plain(segments[0])
+            out = [plain(segments[0])]
             for token, segment in zip(segments[1::2], segments[2::2], strict=True):
-                out += [added[token], *plain(segment)]
-            return np.array([*out, end], "<u4")
+                out += [added[token].to_bytes(4, "little"), plain(segment)]
+            return np.frombuffer(b"".join([*out, end.to_bytes(4, "little")]), "<u4")
         return ids
     return load
 

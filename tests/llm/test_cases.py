@@ -249,6 +249,21 @@ def test_ids_are_the_library_s():
         assert ids(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_remembered_words_are_small():
+    """What a task remembers of a word is the word, its ids as bytes and a place in a table."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    ids = pack.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), 2)()
+    tracemalloc.start()
+    for i in range(0, 100_000, 1000):
+        ids(" ".join(f"wort{j}er" for j in range(i, i + 1000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 250 * 100_000
+
+
 def test_packing_empty(spark):
     import public_tokenizers
 
