@@ -5,11 +5,12 @@ occurs, exactly, and keeps the terms of a language that are frequent enough. The
 language are dealt into shards, each with a minimal perfect hash that stores its keys. The hashes are
 sent to all tasks, as many at once as ROUND_BYTES hold, and the second pass recounts the texts: a
 term's slot, verified against the stored key, is a place in an array of its group (language and source).
-Only slots with counts leave a task.
+The slots of a
+shard are cut into stretches so narrow that all sources of the language fit into CELLS. Only slots with counts leave
+a task, as a row of two packed arrays per group and stretch.
 
-Frequencies are then compared dense, with a count for every source and kept term: the slots of a
-shard are cut into stretches so narrow that all sources of the language fit into CELLS, and each stretch adds up its
-part of every pair of sources. Of single terms each stretch passes on the best per source.
+Frequencies are then compared dense, with a count for every source and kept term: each stretch adds up what the tasks
+counted and its part of every pair of sources. Of single terms each stretch passes on the best per source.
 
 All arithmetic is exact: a share is a whole number of billionths, and divisions go digit by digit.
 
@@ -40,8 +41,10 @@ TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else
 STRETCH, ENTRIES = 1 << 20, 500_000
 #: Terms and bytes of one shard; bytes of hashes sent at once; slots counted at once in a task.
 SHARD_TERMS, SHARD_BYTES, ROUND_BYTES, SLOTS = 1 << 16, 4 << 20, 32 << 20, 8 << 20
-#: Frequencies compared at once.
-CELLS = 1 << 17
+#: Frequencies compared at once, and slots that a stretch has at most, as many as two bytes tell apart.
+CELLS, WIDEST = 1 << 17, 1 << 16
+#: What leaves a task of the second pass.
+COUNTED = "lang string, source string, shard long, stretch long, slots binary, counts binary, n long"
 
 
 def terms(text: bytes) -> Iterator[list[bytes]]:
@@ -100,8 +103,19 @@ def kept_terms(rows: DataFrame, least: int) -> DataFrame:
         F.col("documents") >= least).select("lang", "term")
 
 
-def sharded(kept: DataFrame) -> DataFrame:
-    """(lang, shards, shard, bytes, hash, keys): a perfect hash per shard, its keys in order of slots."""
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def unpacked(slots: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    slot = np.frombuffer(slots, np.uint16)
+    return slot, np.frombuffer(counts, f"u{len(counts) // len(slot)}")
+
+
+def sharded(kept: DataFrame, widths: DataFrame) -> DataFrame:
+    """(lang, shards, shard, bytes, hash, keys, width): a perfect hash per shard, its keys in order of slots, and
+    the width of its stretches."""
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("bytes"))
     shards = F.greatest(F.ceil(F.col("n") / SHARD_TERMS), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("long")
     dealt = kept.join(sizes.select("lang", shards.alias("shards")), "lang").withColumn(
@@ -116,7 +130,7 @@ def sharded(kept: DataFrame) -> DataFrame:
             "keys": pa.array([keys], pa.list_(pa.binary()))})
 
     return dealt.groupBy("lang", "shards", "shard").applyInArrow(
-        build, "lang string, shards long, shard long, bytes long, hash binary, keys array<binary>")
+        build, "lang string, shards long, shard long, bytes long, hash binary, keys array<binary>").join(widths, "lang")
 
 
 class Recount:
@@ -125,10 +139,11 @@ class Recount:
     def __init__(self, table: pa.Table):
         self.shards: dict[tuple[str, int], PerfectHash] = {}
         self.of_lang: dict[str, int] = {}
-        for lang, shards, shard, blob, keys in zip(
-                *(table.column(c).to_pylist() for c in ("lang", "shards", "shard", "hash", "keys")), strict=True):
+        self.width: dict[str, int] = {}
+        for lang, shards, shard, blob, keys, width in zip(
+                *(table.column(c).to_pylist() for c in ("lang", "shards", "shard", "hash", "keys", "width")), strict=True):
             self.shards[lang, shard] = PerfectHash(keys, *pickle.loads(blob))
-            self.of_lang[lang] = shards
+            self.of_lang[lang], self.width[lang] = shards, width
         self.dense: dict[tuple[str, str, int], np.ndarray] = {}
 
     def add(self, lang: str, groups: dict[str, Counter]) -> None:
@@ -157,13 +172,20 @@ class Recount:
         return sum(map(len, self.dense.values())) >= SLOTS
 
     def emit(self) -> Iterator[pa.RecordBatch]:
+        rows = []
         for (lang, source, shard), counts in self.dense.items():
-            slot = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(slot), pa.string()), pa.array([source] * len(slot), pa.string()),
-                 pa.array(np.full(len(slot), shard)), pa.array(slot), pa.array(counts[slot])],
-                names=["lang", "source", "shard", "slot", "n"])
+            width, slot = self.width[lang], np.flatnonzero(counts)
+            stretch = slot // width
+            cuts = [*np.flatnonzero(np.diff(stretch, prepend=-1)).tolist(), len(slot)]
+            slot, n = (slot - stretch * width).astype(np.uint16), counts[slot]
+            rows += [(lang, source, shard, int(stretch[a]), slot[a:b].tobytes(), packed(n[a:b]), int(n[a:b].sum()))
+                     for a, b in zip(cuts, cuts[1:], strict=False)]
         self.dense = {}
+        if rows:
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)],
+                names=[field.split()[0] for field in COUNTED.split(", ")])
 
 
 def recounter(sent):
@@ -194,7 +216,8 @@ def recounter(sent):
 
 
 def group_counts(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """(lang, source, shard, slot, n) for every slot with a count, in rounds of hashes of a bounded size."""
+    """COUNTED: rows per group and stretch with its slots, their counts and the sum of these; several tasks may
+    give the same slots. In rounds of hashes of a bounded size."""
     spark, counted, waiting, size = rows.sparkSession, None, [], 0
     listed = shards.select("lang", "shard", "bytes").orderBy("lang", "shard").collect()
     for at, r in enumerate(listed):
@@ -203,14 +226,11 @@ def group_counts(rows: DataFrame, shards: DataFrame) -> DataFrame:
         if at + 1 == len(listed) or size + listed[at + 1].bytes > ROUND_BYTES:
             wanted = spark.createDataFrame(waiting, "lang string, shard long")
             table = shards.join(F.broadcast(wanted), ["lang", "shard"], "left_semi").toArrow()
-            part = rows.mapInArrow(recounter(spark.sparkContext.broadcast(table)),
-                                   "lang string, source string, shard long, slot long, n long")
-            part = part.groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
-            part = cut_lineage(part, "group-counts")
+            part = cut_lineage(rows.mapInArrow(recounter(spark.sparkContext.broadcast(table)), COUNTED), "group-counts")
             counted = part if counted is None else counted.unionByName(part)
             waiting, size = [], 0
     if counted is None:
-        return spark.createDataFrame([], "lang string, source string, shard long, slot long, n long")
+        return spark.createDataFrame([], COUNTED)
     return counted
 
 
@@ -231,16 +251,27 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def stretch_values(top: int):
     """What one stretch of slots adds to each pair of sources, and its best terms per source."""
 
-    def run(table: pa.Table) -> pa.Table:
-        lang = table.column("lang")[0].as_py()
-        kind, first, slot, n, width = (
-            table.column(c).to_numpy() for c in ("kind", "source", "slot", "n", "vocabulary"))
-        groups, named, counted = kind == 0, kind == 1, kind == 2
-        sources, totals, v = first[groups].tolist(), n[groups], int(width[groups][0])
-        names, base = first[named][np.argsort(slot[named])], slot[named].min()
-        number = {s: i for i, s in enumerate(sources)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals_of, name_of, counts_of = {}, {}, {}
+        # The rows of each batch: groups, names of slots, and packed counts, whatever their order.
+        for batch in batches:
+            for lang, kind, source, slot, n, width, slots, packs in zip(*(batch.column(c).to_pylist() for c in (  # noqa: B007
+                    "lang", "kind", "source", "slot", "n", "vocabulary", "slots", "counts")), strict=True):
+                if kind == 0:
+                    totals_of[source], v = n, width
+                elif kind == 1:
+                    name_of[slot] = source
+                else:
+                    if source not in counts_of:
+                        counts_of[source] = np.zeros(width, np.int64)
+                    at, found = unpacked(slots, packs)
+                    counts_of[source][at] += found.astype(np.int64)
+        sources, totals = list(totals_of), np.array(list(totals_of.values()), np.int64)
+        names = np.array([name_of[slot] for slot in sorted(name_of)], object)
         counts = np.zeros((len(sources), len(names)), np.int64)
-        counts[[number[s] for s in first[counted]], slot[counted] - base] = n[counted]
+        for i, source in enumerate(sources):
+            if source in counts_of:
+                counts[i] = counts_of.pop(source)[:len(names)]
         p = shares(counts, totals[:, None] + v)
         q = shares(counts.sum(axis=0), np.int64(totals.sum() + v))
         rows: dict[str, list] = {"source": [], "part": [], "item": [], "value": []}
@@ -260,9 +291,10 @@ def stretch_values(top: int):
             encoded = [str(t).encode() for t in names[own]]
             order = sorted(range(len(own)), key=lambda k: (-value[k], encoded[k]))[:top]
             add(source, "term", [names[own[k]] for k in order], [int(value[k]) for k in order])
-        return pa.table({"lang": pa.array([lang] * len(rows["source"]), pa.string()),
-                         "source": pa.array(rows["source"], pa.string()), "part": pa.array(rows["part"], pa.string()),
-                         "item": pa.array(rows["item"], pa.string()), "value": pa.array(rows["value"], pa.int64())})
+        yield pa.RecordBatch.from_pydict({
+            "lang": pa.array([lang] * len(rows["source"]), pa.string()),
+            "source": pa.array(rows["source"], pa.string()), "part": pa.array(rows["part"], pa.string()),
+            "item": pa.array(rows["item"], pa.string()), "value": pa.array(rows["value"], pa.int64())})
 
     return run
 
@@ -281,27 +313,31 @@ def source_divergence(
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = documents.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    shards = cut_lineage(sharded(kept_terms(rows, least)), "perfect-hashes")
+    named = cut_lineage(rows.select("lang", "source").distinct(), "sources")
+    widths = named.groupBy("lang").agg(F.least(F.lit(WIDEST), F.greatest(
+        F.lit(1), F.floor(F.lit(CELLS) / F.count(F.lit(1))))).cast("long").alias("width"))
+    shards = cut_lineage(sharded(kept_terms(rows, least), widths), "perfect-hashes")
     counts = group_counts(rows, shards)
 
     sizes = shards.groupBy("lang").agg(F.sum(F.size("keys")).alias("vocabulary"))
-    groups = rows.select("lang", "source").distinct().join(
+    groups = named.join(
         counts.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = cut_lineage(groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), "vocabulary"), "groups")
-    width = groups.groupBy("lang").agg(
-        F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.count(F.lit(1)))).alias("width"))
-    stretch = F.floor(F.col("slot") / F.col("width")).alias("stretch")
-    none = F.lit(None)
-
-    names = shards.select("lang", "shard", F.posexplode("keys").alias("slot", "key")).join(width, "lang").select(
-        "lang", "shard", stretch, F.lit(1).alias("kind"), F.col("key").cast("string").alias("source"),
-        F.col("slot").cast("long").alias("slot"), F.lit(0).cast("long").alias("n"), none.cast("long").alias("vocabulary"))
-    found = counts.join(width, "lang").select(
-        "lang", "shard", stretch, F.lit(2).alias("kind"), "source", "slot", "n", none.cast("long").alias("vocabulary"))
-    stretches = shards.join(width, "lang").select("lang", "shard", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.size("keys") - 1) / F.col("width")))).alias("stretch"))
+    none, zero = F.lit(None), F.lit(0).cast("long")
+    bare_counts = (none.cast("binary").alias("slots"), none.cast("binary").alias("counts"))
+
+    # Three kinds of rows per stretch: 0 its groups, 1 the names of its slots, 2 the packed counts with its width.
+    names = shards.select("lang", "shard", "width", F.posexplode("keys").alias("slot", "key")).select(
+        "lang", "shard", F.floor(F.col("slot") / F.col("width")).alias("stretch"), F.lit(1).alias("kind"),
+        F.col("key").cast("string").alias("source"), F.col("slot").cast("long").alias("slot"), zero.alias("n"),
+        none.cast("long").alias("vocabulary"), *bare_counts)
+    found = counts.join(widths, "lang").select(
+        "lang", "shard", "stretch", F.lit(2).alias("kind"), "source", zero.alias("slot"), zero.alias("n"),
+        F.col("width").alias("vocabulary"), "slots", "counts")
+    stretches = shards.select("lang", "shard", F.explode(F.sequence(
+        zero, F.floor((F.size("keys") - 1) / F.col("width")))).alias("stretch"))
     every = stretches.join(groups, "lang").select(
-        "lang", "shard", "stretch", F.lit(0).alias("kind"), "source", F.lit(0).cast("long").alias("slot"), "n", "vocabulary")
+        "lang", "shard", "stretch", F.lit(0).alias("kind"), "source", zero.alias("slot"), "n", "vocabulary", *bare_counts)
     values = every.unionByName(names).unionByName(found).groupBy("lang", "shard", "stretch").applyInArrow(
         stretch_values(top), "lang string, source string, part string, item string, value long")
     values = values.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))

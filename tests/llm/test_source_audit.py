@@ -107,3 +107,26 @@ def test_top_and_empty(spark):
     assert A.source_divergence(docs.filter("false")).count() == 0
     alone = docs.limit(1)
     assert A.source_divergence(alone).count() == 0
+
+
+def test_rows_that_leave_the_recount(spark, monkeypatch):
+    """The second pass gives a row per task, group and stretch, however many terms these have."""
+    written = {}
+
+    def watched(df, label, cut=A.cut_lineage):
+        written[label] = cut(df, label)
+        return written[label]
+
+    monkeypatch.setattr(A, "cut_lineage", watched)
+    text = " ".join(f"term{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(4000))
+    rows = [(text + " terma" * 70_000 if i == 0 else text, "en", f"s{i % 2}") for i in range(8)]
+    docs = spark.createDataFrame([(i, *r, "x", 7) for i, r in enumerate(rows)], SCHEMA).repartition(2)
+    assert sorted(map(tuple, A.source_divergence(docs).collect())) == plain(rows)
+    assert written["group-counts"].count() <= 2 * 2
+
+
+def test_packed_counts():
+    for largest in (1, 255, 256, 70_000, 1 << 40):
+        slot, n = np.array([0, 5, 65_535], np.uint16), np.array([1, largest, 3])
+        again = A.unpacked(slot.tobytes(), A.packed(n))
+        assert again[0].tolist() == slot.tolist() and again[1].tolist() == n.tolist()
