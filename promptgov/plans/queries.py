@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptgov.functions import checks, output, pii, text
+from promptgov.functions.denylist import table_violations
 from promptgov.operators import anomaly, budgets, limits, policy_rules, ratelimit, routing, stats, verdicts
 from promptgov.operators.clock import micros
 from promptgov.operators.gate import Gate, audit_events, block_response
@@ -58,8 +59,8 @@ def checked(**only) -> Query:
 
 def check_deny_list(spark, sf):
     """Violations of a deny-list with thousands of entries."""
-    policy = Policy(blocked_patterns=W.long_deny_list(spark, sf))
-    return listed(checks.check(W.prompts(spark, sf), policy), "request_id")
+    prompts = W.prompts(spark, sf).select("request_id", "prompt")
+    return table_violations(prompts, W.long_deny_list(spark, sf), "part", "i")
 
 
 def normalize_input(spark, sf):
